@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +49,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/timbrel-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._timbrel_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a table of :func:`written`, once nothing lazy reads it any more."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._timbrel_path)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def bounded(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``max_rows`` rows, as it is otherwise."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def is_small(df: DataFrame, max_rows: int) -> bool:

@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timbrel.llm.words import mix
-from timbrel.session import written
+from timbrel.session import bounded, discard, written
 
 MIN_CHARS = 400
 MATURE = 20
 ROUNDS = 24
-CHAIN = 230
+CHAIN = 220
 MAX_GROUP = 16
+#: Rows of eight or sixteen bytes that may be broadcast; larger tables meet by a shuffle.
+MAX_BROADCAST = 2_000_000
 #: Characters named at once; a longer text is one piece of its own.
 PIECE = 2_000_000
 
@@ -205,14 +207,20 @@ def candidate_pairs(texts: DataFrame, min_chars: int = MIN_CHARS, max_group: int
     occ = written(texts.select("cls", "text").mapInArrow(_occurrences, "chain long, cls long"), "chains")
     groups = occ.groupBy("chain").agg(F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
     groups = written(groups, "groups")
+    keys = groups.where("n > 2").select("chain")
+    shared = occ.join(bounded(keys, MAX_BROADCAST), "chain")
     two = groups.where("n = 2").select(F.col("lo").alias("cls_a"), F.col("hi").alias("cls_b"))
-    some = occ.join(groups.where(f"n > 2 and n <= {max_group}").select("chain"), "chain")
+    large = groups.where(f"n > {max_group}").select("chain")
+    hot = not large.isEmpty()
+    some = shared.join(bounded(large, MAX_BROADCAST), "chain", "left_anti") if hot else shared
     few = _within(some.groupBy("chain").agg(F.array_sort(F.collect_set("cls")).alias("all")))
     out = two.union(few)
-    large = groups.where(f"n > {max_group}").select("chain")
-    if not large.isEmpty():
-        out = out.union(_large_groups(texts, occ.join(large, "chain").distinct(), min_chars, max_group))
-    return out.distinct()
+    if hot:
+        out = out.union(_large_groups(texts, shared.join(bounded(large, MAX_BROADCAST), "chain").distinct(), min_chars, max_group))
+    pairs = written(out.distinct(), "pairs")
+    discard(occ)
+    discard(groups)
+    return pairs
 
 
 def _within(groups: DataFrame) -> DataFrame:
@@ -251,7 +259,7 @@ def class_spans(texts: DataFrame, pairs: DataFrame, min_chars: int = MIN_CHARS)
     """``(cls_a, cls_b, spans_a, spans_b)`` of the candidate pairs that do share a span; spans as ``[start, end)``."""
     # only texts in some pair are moved
     used = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
-    one = written(texts.join(used, "cls").dropDuplicates(["cls"]).select("cls", "text"), "texts")
+    one = written(texts.select("cls", "text").join(bounded(used, MAX_BROADCAST), "cls").dropDuplicates(["cls"]), "texts")
     a = one.select(F.col("cls").alias("cls_a"), F.col("text").alias("text_a"))
     b = one.select(F.col("cls").alias("cls_b"), F.col("text").alias("text_b"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from timbrel.llm import conversations, defects, leakage, spans, tokens
+from timbrel.llm import consensus, conversations, defects, leakage, overlaps, sampling, spans, splitting, tokens
 from timbrel.llm.sql import SQL
 from timbrel.session import table
 
@@ -23,6 +23,28 @@ def p1_conversations(spark, sf_dir):
     return conversations.conversations(table(spark, sf_dir, "meld_utterances"), table(spark, sf_dir, "emotion_samples"))
 
 
+def p2_found(spark, sf_dir):
+    """Pairs of which the corpus lacks rows that the plan asks for."""
+    return p2_report(spark, sf_dir).where("missing > 0").select("dataset_name", "categorical_emotion")
+
+
+def p2_report(spark, sf_dir):
+    return sampling.report(table(spark, sf_dir, "emotion_samples"), table(spark, sf_dir, "target_shares"))
+
+
+def p2_sample(spark, sf_dir):
+    return sampling.draw(table(spark, sf_dir, "emotion_samples"), table(spark, sf_dir, "target_shares"))
+
+
+def p3_found(spark, sf_dir):
+    return overlaps.overlap_pairs(overlaps.overlaps(table(spark, sf_dir, "emotion_samples")))
+
+
+def p3_report(spark, sf_dir):
+    samples = table(spark, sf_dir, "emotion_samples")
+    return overlaps.overlap_report(overlaps.overlaps(samples), samples)
+
+
 def p4_found(spark, sf_dir):
     return defects.first_defect(p4_all_types(spark, sf_dir))
 
@@ -31,6 +53,37 @@ def p4_all_types(spark, sf_dir):
     return defects.answer_defects(table(spark, sf_dir, "cot_samples"), table(spark, sf_dir, "inference_results"))
 
 
+def p5_found(spark, sf_dir):
+    return splitting.torn_speakers(table(spark, sf_dir, "emotion_samples")).select("dataset_name", "speaker_id")
+
+
+def p5_split(spark, sf_dir):
+    return splitting.assign(table(spark, sf_dir, "emotion_samples"), table(spark, sf_dir, "split_targets"))
+
+
+def p5_split_linked(spark, sf_dir):
+    """As p5_split, but records of one audio file are related too."""
+    return splitting.assign(table(spark, sf_dir, "emotion_samples"), table(spark, sf_dir, "split_targets"), ["speaker", "file"])
+
+
+def p5_report(spark, sf_dir):
+    targets = table(spark, sf_dir, "split_targets")
+    return splitting.split_report(splitting.assign(table(spark, sf_dir, "emotion_samples"), targets), targets)
+
+
+def p7_found(spark, sf_dir):
+    return consensus.unreliable(consensus.reliability(table(spark, sf_dir, "vad_annotations")))
+
+
+def p7_reliability(spark, sf_dir):
+    r = consensus.reliability(table(spark, sf_dir, "vad_annotations"))
+    return r.select("annotator_id", "n_shared", *(F.round(c, 6).alias(c) for c in ("r_valence", "r_arousal", "reliability")))
+
+
+def p7_consensus(spark, sf_dir):
+    return consensus.consensus(table(spark, sf_dir, "vad_annotations"))
+
+
 def p8_ids(spark, sf_dir):
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -63,7 +116,7 @@ def p10_shared(spark, sf_dir):
     return spans.shared_share(table(spark, sf_dir, "documents"))
 
 
-_ALL = (p1_found, p1_reasons, p1_conversations, p4_found, p4_all_types, p8_ids, p8_round_trip, p8_offsets, p9_found, p9_report, p10_found, p10_shared)
+_ALL = (p1_found, p1_reasons, p1_conversations, p2_found, p2_report, p2_sample, p3_found, p3_report, p4_found, p4_all_types, p5_found, p5_split, p5_split_linked, p5_report, p7_found, p7_reliability, p7_consensus, p8_ids, p8_round_trip, p8_offsets, p9_found, p9_report, p10_found, p10_shared)
 
 
 def queries() -> dict:

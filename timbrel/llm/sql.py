@@ -29,8 +29,45 @@ bad as (
       and regexp_replace(d.said, '\s+', ' ', 'g') = p.said))
 """
 
+_SAMPLES = r"""
+with s as (
+  select distinct sample_id,
+    case lower(regexp_replace(dataset_name, '[\s_-]+', '', 'g')) when 'iemocap' then 'iemocap' when 'meld' then 'meld'
+      when 'msppodcast' then 'msp_podcast' when 'ravdess' then 'ravdess' end as corpus,
+    case when lower(regexp_replace(split, '^\s+|\s+$', '', 'g')) = 'train' then 'train'
+      when lower(regexp_replace(split, '^\s+|\s+$', '', 'g')) in ('val', 'validation', 'dev', 'development') then 'val'
+      when lower(regexp_replace(split, '^\s+|\s+$', '', 'g')) in ('test', 'test1', 'test2') then 'test' end as part,
+    lower(regexp_replace(categorical_emotion, '^\s+|\s+$', '', 'g')) as category,
+    lower(regexp_replace(speaker_id, '^\s+|\s+$', '', 'g')) as speaker
+  from emotion_samples where sample_id is not null)
+"""
+_RATINGS = r"""
+with t as (
+  select case lower(regexp_replace(dataset_name, '[\s_-]+', '', 'g')) when 'msppodcast' then 7.0::double when 'iemocap' then 5.0::double end as top,
+    lower(regexp_replace(dataset_name, '[\s_-]+', '', 'g')) as corpus, utterance_id as item,
+    upper(regexp_replace(annotator_id, '^\s+|\s+$', '', 'g')) as person, valence, arousal, labelled_at, loaded_at from vad_annotations),
+ok as (
+  select * from t where person <> '' and item is not null and top is not null and not isnan(valence) and not isnan(arousal)
+    and valence between 1 and top and arousal between 1 and top
+  qualify row_number() over (partition by corpus, item, person order by labelled_at desc nulls last, loaded_at desc nulls last, valence desc, arousal desc) = 1),
+r as (select corpus, item, person, 1 + (valence - 1) * 4 / (top - 1) as v, 1 + (arousal - 1) * 4 / (top - 1) as a from ok),
+o as (
+  select person, v, a, count(*) over w as n, (sum(v) over w - v) / (count(*) over w - 1) as ov, (sum(a) over w - a) / (count(*) over w - 1) as oa
+  from r window w as (partition by corpus, item)),
+c as (
+  select person, count(*) as n, coalesce(case when isnan(corr(v, ov)) then 0 else corr(v, ov) end, 0) as rv, coalesce(case when isnan(corr(a, oa)) then 0 else corr(a, oa) end, 0) as ra
+  from o where n > 1 group by person)
+"""
+
 SQL = {
     "p1_found": _TURNS + "select distinct conv as dialogue_id from bad",
     "p1_reasons": _TURNS + "select conv as dialogue_id, reason from bad",
+    "p2_found": _SAMPLES
+    + """select dataset_name, categorical_emotion from target_shares t
+      where (select count(*) from s where s.corpus = t.dataset_name and s.category = t.categorical_emotion) < greatest(min_rows, round(target_share * sample_rows))""",
+    "p5_found": _SAMPLES
+    + """select corpus as dataset_name, speaker as speaker_id from s
+      where corpus is not null and part is not null and speaker not in ('', 'unknown', 'n/a') group by 1, 2 having count(distinct part) > 1""",
+    "p7_found": _RATINGS + "select person as annotator_id from c where n >= 30 and (rv + ra) / 2 < 0.35",
     "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents",
 }

@@ -37,7 +37,7 @@ MIN_WORDS = 10
 EDIT_EVERY = 6
 GRAM = 4
 HOT = 20_000
-HOT_LEAST = 400
+HOT_LEAST = 100
 CONTAINMENT_GRAM = 5
 
 

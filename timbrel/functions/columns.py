@@ -12,7 +12,7 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 def strip(c) -> Column:
     """Without outer white space of any kind; Spark's trim takes spaces only."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def clamp(c, low: float = rubric.LOW, high: float = rubric.HIGH) -> Column:
@@ -91,16 +91,27 @@ def _score_lines(text: Column) -> Column:
     return F.when(at > 0, F.slice(lines, at.cast("int") + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
 
 
-def parsed_scores(text: Column) -> dict[str, Column]:
-    """Each dimension's score in a response: the last ``name: number`` line, clamped; null if there is none."""
-    lines = _score_lines(text)
+def score_pairs(text: Column) -> Column:
+    """``name: number`` lines of a response's score section as an array of structs, numbers clamped.
 
-    def last(name: str) -> Column:
-        own = F.filter(lines, lambda x: strip(F.substring_index(x, ":", 1)) == name)
-        values = F.transform(own, lambda x: number(x.substr(F.instr(x, ":") + F.lit(1), F.length(x))))
-        return clamp(F.try_element_at(F.array_compact(values), F.lit(-1)))
+    Store it as a column before :func:`scores_of` reads it seven times.
+    """
+    pair = lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("k"), clamp(number(x.substr(F.instr(x, ":") + F.lit(1), F.length(x)))).alias("v"))
+    return F.filter(F.transform(F.filter(_score_lines(text), lambda x: x.contains(":")), pair), lambda p: p["v"].isNotNull())
 
-    return {name: last(name) for name in rubric.NAMES}
+
+def scores_of(pairs: Column) -> dict[str, Column]:
+    """Each dimension's score: the last pair of its name; null if there is none."""
+    return {n: F.try_element_at(F.filter(pairs, _named(n)), F.lit(-1))["v"] for n in rubric.NAMES}
+
+
+def _named(name: str):
+    return lambda p: p["k"] == name
+
+
+def with_scores(df, text: str):
+    """``df`` with ``_pairs`` of a text column, and the score columns to select from it."""
+    return df.withColumn("_pairs", score_pairs(F.col(text))), scores_of(F.col("_pairs"))
 
 
 def score_struct(columns: dict[str, Column], default: float = rubric.NEUTRAL) -> Column:

@@ -36,9 +36,9 @@ def oracle_scores(spark, sf_dir):
 
 def parse_scores(spark, sf_dir):
     """Scores of every response, 3 where there is none, and how many were found."""
-    found = C.parsed_scores(F.col("target_output"))
+    df, found = C.with_scores(_cot(spark, sf_dir), "target_output")
     held = sum((F.when(c.isNotNull(), 1).otherwise(0) for c in found.values()), F.lit(0))
-    return _cot(spark, sf_dir).select("cot_id", *(F.coalesce(c, F.lit(3.0)).alias(n) for n, c in found.items()), held.cast("long").alias("n_dims_parsed"))
+    return df.select("cot_id", *(F.coalesce(c, F.lit(3.0)).alias(n) for n, c in found.items()), held.cast("long").alias("n_dims_parsed"))
 
 
 def extract_sections(spark, sf_dir):
@@ -49,11 +49,12 @@ def extract_sections(spark, sf_dir):
 def judgment_parse(spark, sf_dir):
     """Reasoning and scores of a response; without any section all of it is reasoning and scores are the target's."""
     t = F.coalesce("target_output", F.lit(""))
-    found, o = C.parsed_scores(t), F.col("oracle_scores")
+    df, found = C.with_scores(_cot(spark, sf_dir), "target_output")
+    o = F.col("oracle_scores")
     scored = F.instr(t, "[SCORES]") > 0
     reasoning = F.when(F.instr(t, "[REASONING]") > 0, C.sections(t)["reasoning"]).when(scored, C.strip(F.substring_index(t, "[SCORES]", 1))).otherwise(C.strip(t))
     value = lambda n: F.when(scored, F.coalesce(found[n], F.lit(3.0))).otherwise(F.coalesce(o[n], F.lit(3.0)))
-    return _cot(spark, sf_dir).select("cot_id", reasoning.alias("reasoning"), *(value(n).alias(n) for n in NAMES), (~scored).alias("is_fallback"))
+    return df.select("cot_id", reasoning.alias("reasoning"), *(value(n).alias(n) for n in NAMES), (~scored).alias("is_fallback"))
 
 
 def _fenced(spark, sf_dir):
@@ -213,7 +214,8 @@ def mock_k_samples(spark, sf_dir):
     """Four stand-in responses a prompt, parsed, averaged, and the best of them."""
     asked = _cot(spark, sf_dir).where("cot_id is not null and prompt is not null").dropDuplicates(["cot_id"])
     r = generator.generate(asked, "cot_id", "prompt", k=4)
-    scored = r.select("id", "k", *(F.coalesce(c, F.lit(3.0)).alias(n) for n, c in C.parsed_scores(F.col("response")).items()))
+    r, found = C.with_scores(r, "response")
+    scored = r.select("id", "k", *(F.coalesce(c, F.lit(3.0)).alias(n) for n, c in found.items()))
     best = scoring.k_best(scored, "id", "k", NAMES)
     return scoring.k_average(scored, "id", NAMES).join(best, "id")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbrel.functions.columns import parsed_scores, score_struct
+from timbrel.functions.columns import score_struct, with_scores
 
 RESPONSES = "utterance_id string, k int, response string, at timestamp"
 
@@ -18,9 +18,9 @@ def responses(spark: SparkSession, folder: str, per_trigger: int | None = None)
 
 def scored(stream: DataFrame) -> DataFrame:
     """Adds the parsed score struct and the number of dimensions found."""
-    found = parsed_scores(F.col("response"))
+    df, found = with_scores(stream, "response")
     held = sum((F.when(c.isNotNull(), 1).otherwise(0) for c in found.values()), F.lit(0))
-    return stream.withColumn("scores", score_struct(found)).withColumn("n_dims_parsed", held)
+    return df.withColumn("scores", score_struct(found)).withColumn("n_dims_parsed", held).drop("_pairs")
 
 
 def windowed_means(stream: DataFrame, width: str = "10 minutes", late: str = "30 minutes") -> DataFrame:

@@ -257,8 +257,8 @@ SQL = {
     "resume_remaining": "select distinct sample_id, utterance_id from emotion_samples s where not exists (select 1 from cot_samples c where c.utterance_id = s.utterance_id)",
     "union_corpora": """select case lower(dataset_name) when 'ravdess' then 0 when 'iemocap' then 1 when 'msp_podcast' then 2 else 3 end as part, dataset_name, count(*) as n, count(categorical_emotion) as with_emotion
       from emotion_samples where lower(dataset_name) in ('ravdess', 'iemocap', 'msp_podcast', 'meld') group by 1, 2""",
-    "vad_rescale": "select utterance_id, annotator_id, " + ", ".join(f"round(case when isnan({c}) then null when dataset_name = 'msp_podcast' then 1 + ({c} - 1) * 4 / 6 else {c} end, 6) as {c}" for c in ("valence", "arousal", "dominance")) + " from vad_annotations",
-    "mean_vad": "select utterance_id, round(avg(valence), 6) as valence, count(*) as n_annotators from vad_annotations where valence is not null and not isnan(valence) group by 1",
+    "vad_rescale": "select utterance_id, annotator_id, " + ", ".join(f"round(case when {c}::varchar = 'nan' then null when dataset_name = 'msp_podcast' then 1 + ({c} - 1) * 4 / 6 else {c} end, 6) as {c}" for c in ("valence", "arousal", "dominance")) + " from vad_annotations",
+    "mean_vad": "select utterance_id, round(avg(valence), 6) as valence, count(*) as n_annotators from vad_annotations where valence is not null and valence::varchar <> 'nan' group by 1",
     "min_annotators": "select utterance_id, count(distinct annotator_id) as n_annotators from vad_annotations group by 1 having count(distinct annotator_id) >= 3",
     "safe_float_default": "select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as double), 4.0) as k, coalesce(try_cast(event_type as double), 4.0) as d from events",
     "emotion_filter_default": f"""with r as (select lower(regexp_replace(coalesce(emotion, 'neutral'), '^\\s+|\\s+$', '', 'g')) as raw from meld_utterances)

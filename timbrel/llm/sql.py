@@ -47,7 +47,7 @@ with t as (
     lower(regexp_replace(dataset_name, '[\s_-]+', '', 'g')) as corpus, utterance_id as item,
     upper(regexp_replace(annotator_id, '^\s+|\s+$', '', 'g')) as person, valence, arousal, labelled_at, loaded_at from vad_annotations),
 ok as (
-  select * from t where person <> '' and item is not null and top is not null and not isnan(valence) and not isnan(arousal)
+  select * from t where person <> '' and item is not null and top is not null and valence::varchar <> 'nan' and arousal::varchar <> 'nan'
     and valence between 1 and top and arousal between 1 and top
   qualify row_number() over (partition by corpus, item, person order by labelled_at desc nulls last, loaded_at desc nulls last, valence desc, arousal desc) = 1),
 r as (select corpus, item, person, 1 + (valence - 1) * 4 / (top - 1) as v, 1 + (arousal - 1) * 4 / (top - 1) as a from ok),

@@ -12,7 +12,7 @@ at its length), of which one at least stands untouched in the shorter one, displ
 n-grams, and no similar pair is lost. N-grams of more than ``1 / HOT`` of all places are
 hot; at most ``HOT`` exist, and their list is broadcast. Disjoint n-grams are placed beside
 hot ones wherever the text allows it; where it does not, the key of a hot one also holds
-length and place, so that its group splits. Pairs that meet are compared by an edit
+classes of length and place, so that its group splits. Pairs that meet are compared by an edit
 distance over word codes in the JVM, then over the words themselves.
 
 Defined cases: null, empty and short transcripts match none; null and blank audio paths
@@ -38,6 +38,8 @@ EDIT_EVERY = 6
 GRAM = 4
 HOT = 20_000
 HOT_LEAST = 100
+#: Words up to which the layout of disjoint n-grams is optimised exactly.
+EXACT_LAYOUT = 200
 CONTAINMENT_GRAM = 5
 
 
@@ -88,18 +90,29 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _disjoint(hot: np.ndarray, pieces: int) -> list[int]:
-    """Starts of ``pieces`` disjoint n-grams with as few hot ones as can be; ``hot`` flags each place."""
+    """Starts of ``pieces`` disjoint n-grams with few hot ones; ``hot`` flags each place.
+
+    The least number of hot ones, unless the text is long and has too few disjoint cold
+    ones; then the even layout is kept, which is as valid.
+    """
     n = len(hot) + GRAM - 1
     even = [n * i // pieces for i in range(pieces)]
     if not hot[even].any():
         return even
-    big = 1 << 30
-    best = [[0] * (n + 1)] + [[big] * (n + 1) for _ in range(pieces)]
+    cold, free = [], 0
+    for i in np.flatnonzero(~hot).tolist():
+        if i >= free:
+            cold.append(i)
+            free = i + GRAM
+    if len(cold) >= pieces:
+        return [cold[len(cold) * i // pieces] for i in range(pieces)]
+    if n > EXACT_LAYOUT:
+        return even
+    best = [[0] * (n + 1)] + [[n + 1] * (n + 1) for _ in range(pieces)]
     for p in range(1, pieces + 1):
         row, up = best[p], best[p - 1]
         for end in range(p * GRAM, n + 1):
-            take = up[end - GRAM] + int(hot[end - GRAM])
-            row[end] = min(row[end - 1], take)
+            row[end] = min(row[end - 1], up[end - GRAM] + int(hot[end - GRAM]))
     out, end = [], n
     for p in range(pieces, 0, -1):
         while best[p][end] == best[p][end - 1]:
@@ -109,12 +122,39 @@ def _disjoint(hot: np.ndarray, pieces: int) -> list[int]:
     return out[::-1]
 
 
-def _placed(key: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
-    return mix(key ^ mix(np.uint64(n) * np.uint64(1 << 20) + at.astype(np.uint64)))
+def _width(n: int) -> int:
+    """Width of the length and place classes of hot n-grams for a longer text of ``n`` words: a power of two above its edits."""
+    return 1 << (n // EDIT_EVERY + 1).bit_length()
+
+
+def _placed(key, width: int, length, at) -> np.ndarray:
+    """Keys of hot n-grams by class of text length and place."""
+    where = np.asarray(length, np.uint64) // np.uint64(width) * np.uint64(1 << 24) + np.asarray(at, np.uint64) // np.uint64(width)
+    return mix(key ^ mix(where * np.uint64(64) + np.uint64(width.bit_length())))
 
 
 def _keys(hot_list: list[int]):
-    """Function that lays out the keys of each class: ``long`` rows for disjoint n-grams, others for all n-grams."""
+    """Function that lays out the keys of each class: ``long`` rows for disjoint n-grams, others for all n-grams.
+
+    A hot n-gram's key holds its class of length and place and its row no place (-1).
+    """
+
+    def rows_of(n: int, g: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        at, k = np.arange(len(g)), n // EDIT_EVERY
+        yield g[~hot], at[~hot], False
+        if hot.any():
+            # the longer text has up to a fifth more words, so one of at most two widths
+            keys = [_placed(g[hot], w, n, at[hot]) for w in {_width(n), _width(n + n // (EDIT_EVERY - 1))}]
+            keys = np.unique(np.concatenate(keys))
+            yield keys, np.full(len(keys), -1), False
+        own = np.array(_disjoint(hot, k + 1))
+        cold = own[~hot[own]]
+        yield g[cold], cold, True
+        hit, w = own[hot[own]], _width(n)
+        if len(hit):
+            keys = [_placed(g[hit], w, m, np.clip(hit + d, 0, None)) for m in {max(n - k, 0), n} for d in (-k, 0, k)]
+            keys = np.unique(np.concatenate(keys))
+            yield keys, np.full(len(keys), -1), True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys = np.sort(np.array(hot_list, np.int64).view(np.uint64))
@@ -122,23 +162,12 @@ def _keys(hot_list: list[int]):
             out: list[tuple] = []
             for cls, n, train, held, code in zip(*(b.column(k).to_pylist() for k in range(5))):
                 g = _gram_keys(code)
-                hot = np.isin(g, hot_keys)
-                at = np.arange(len(g))
-                k = n // EDIT_EVERY
-                keys = np.where(hot, _placed(g, n, at), g)
-                out.append((keys, at, np.zeros(len(g), bool), cls, n, train, held))
-                own = np.array(_disjoint(hot, k + 1))
-                cold = own[~hot[own]]
-                out.append((g[cold], cold, np.ones(len(cold), bool), cls, n, train, held))
-                for a in own[hot[own]].tolist():  # every length and place the shorter text may have it at
-                    for m in range(max(MIN_WORDS, n - k), n + 1):
-                        places = np.arange(max(0, a - k), min(m - GRAM, a + k) + 1)
-                        out.append((_placed(np.full(len(places), g[a]), m, places), np.full(len(places), a), np.ones(len(places), bool), cls, n, train, held))
+                out += [(*r, cls, n, train, held) for r in rows_of(n, g, np.isin(g, hot_keys))]
             size = [len(x[0]) for x in out]
             rep = lambda i, t: np.repeat(np.array([x[i] for x in out], t), size)
             cat = lambda i, t: np.concatenate([np.zeros(0, t), *(x[i] for x in out)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cat(0, np.uint64).view(np.int64)), pa.array(cat(1, np.int64).astype(np.int32)), pa.array(cat(2, bool)), pa.array(rep(3, np.int64)), pa.array(rep(4, np.int32)), pa.array(rep(5, bool)), pa.array(rep(6, bool))],
+                [pa.array(cat(0, np.uint64).view(np.int64)), pa.array(cat(1, np.int64).astype(np.int32)), pa.array(rep(2, bool)), pa.array(rep(3, np.int64)), pa.array(rep(4, np.int32)), pa.array(rep(5, bool)), pa.array(rep(6, bool))],
                 names=["key", "at", "long", "cls", "n", "train", "held"],
             )
 
@@ -163,10 +192,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         out = []
-        for a, c, ta, tc in zip(*(b.column(k).to_pylist() for k in range(4))):
+        for a, c, ta, tc, ca, cc, d in zip(*(b.column(k).to_pylist() for k in range(7))):
             wa, wc = ta.split(" "), tc.split(" ")
             most = max(len(wa), len(wc)) // EDIT_EVERY
-            d = _word_distance(wa, wc, most)
+            if len({*wa, *wc}) != len({*ca, *cc}):  # two words share a code, so the distance over codes may be too small
+                d = _word_distance(wa, wc, most)
             if d <= most:
                 ra, rc = runs(wa), runs(wc)
                 out.append((a, c, d, len(ra & rc) / len(ra), len(ra & rc) / len(rc)))
@@ -186,14 +216,15 @@ def similar_classes(classes: DataFrame) -> DataFrame:
     layout = written(layout, "keys")
     a = layout.where("long").select("key", *(F.col(c).alias(f"{c}_a") for c in ("at", "cls", "n", "train", "held")))
     b = layout.where("not long").select("key", *(F.col(c).alias(f"{c}_b") for c in ("at", "cls", "n", "train", "held")))
-    near = f"(train_a and held_b or held_a and train_b) and n_b <= n_a and n_a - n_b <= n_a div {EDIT_EVERY} and abs(at_a - at_b) <= n_a div {EDIT_EVERY} and cls_a <> cls_b"
+    near = f"(train_a and held_b or held_a and train_b) and n_b <= n_a and n_a - n_b <= n_a div {EDIT_EVERY} and (at_a < 0 or abs(at_a - at_b) <= n_a div {EDIT_EVERY}) and cls_a <> cls_b"
     met = a.join(b, "key").where(near).select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).distinct()
     one = classes.select(F.col("cls").alias("cls_a"), F.col("code").alias("code_a"), F.col("words").alias("words_a"), F.col("n").alias("n_a"))
     two = classes.select(F.col("cls").alias("cls_b"), F.col("code").alias("code_b"), F.col("words").alias("words_b"), F.col("n").alias("n_b"))
     close = (
         met.join(one, "cls_a").join(two, "cls_b")
-        .where(F.levenshtein("code_a", "code_b") <= F.floor(F.greatest("n_a", "n_b") / EDIT_EVERY))
-        .select("cls_a", "cls_b", "words_a", "words_b")
+        .withColumn("d", F.levenshtein("code_a", "code_b"))
+        .where(F.col("d") <= F.floor(F.greatest("n_a", "n_b") / EDIT_EVERY))
+        .select("cls_a", "cls_b", "words_a", "words_b", "code_a", "code_b", "d")
     )
     return close.mapInArrow(_verified, "cls_a long, cls_b long, edits int, in_b double, in_a double")
 

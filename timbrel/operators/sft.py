@@ -48,5 +48,5 @@ def summary(df: DataFrame) -> DataFrame:
     ask, answer = F.col("messages")[1]["content"], F.length(F.col("messages")[2]["content"])
     return df.agg(
         F.count("*").alias("n"), F.count_if(F.size("audios") > 0).alias("with_audio"), F.count_if(F.lower(ask).contains("context")).alias("with_context"),
-        F.round(F.avg(answer), 6).alias("mean_length"), F.max(answer).alias("max_length"), F.min(answer).alias("min_length"),
+        F.round(F.avg(answer), 6).alias("mean_length"), F.max(answer).cast("long").alias("max_length"), F.min(answer).cast("long").alias("min_length"),
     )

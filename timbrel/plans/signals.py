@@ -68,7 +68,7 @@ def feature_means(spark, sf_dir):
 def _frames(spark, sf_dir):
     """Events of a user in time order as energy frames: a running number and the value."""
     e = table(spark, sf_dir, "events").where("user_id is not null")
-    return e.selectExpr("user_id", "ts", "value", "row_number() over (partition by user_id order by ts, event_id) - 1 as i")
+    return e.selectExpr("user_id", "ts", "value", "cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) as i")
 
 
 def pauses(spark, sf_dir):

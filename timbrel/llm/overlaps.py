@@ -229,6 +229,14 @@ def similar_classes(classes: DataFrame) -> DataFrame:
     return close.mapInArrow(_verified, "cls_a long, cls_b long, edits int, in_b double, in_a double")
 
 
+def same_files(rec: DataFrame) -> DataFrame:
+    """``(corpus, file, train_id, held_id)`` of :func:`records` with the same audio file name."""
+    files = rec.where("corpus is not null and file is not null").select("corpus", "file", "side", "sample_id").distinct()
+    train = files.where("side = 0").select("corpus", "file", F.col("sample_id").alias("train_id"))
+    held = files.where("side = 1").select("corpus", "file", F.col("sample_id").alias("held_id"))
+    return train.join(held, ["corpus", "file"])
+
+
 def overlaps(samples: DataFrame) -> DataFrame:
     """``(train_id, held_id, kind, edits, containment)`` of all overlapping records.
 
@@ -250,11 +258,7 @@ def overlaps(samples: DataFrame) -> DataFrame:
     )
     near = directed.join(train.withColumnRenamed("cls", "t"), "t").join(held.withColumnRenamed("cls", "h"), "h").select("train_id", "held_id", F.lit("near").alias("kind"), "edits", "containment")
     exact = train.join(held, "cls").select("train_id", "held_id", F.lit("exact").alias("kind"), F.lit(0).alias("edits"), F.lit(1.0).alias("containment"))
-    files = rec.where("corpus is not null and file is not null").select("corpus", "file", "side", "sample_id").distinct()
-    same = files.where("side = 0").select("corpus", "file", F.col("sample_id").alias("train_id")).join(
-        files.where("side = 1").select("corpus", "file", F.col("sample_id").alias("held_id")), ["corpus", "file"]
-    )
-    file = same.select("train_id", "held_id", F.lit("file").alias("kind"), F.lit(None).cast("int").alias("edits"), F.lit(None).cast("double").alias("containment"))
+    file = same_files(rec).select("train_id", "held_id", F.lit("file").alias("kind"), F.lit(None).cast("int").alias("edits"), F.lit(None).cast("double").alias("containment"))
     return near.union(exact).union(file)
 
 

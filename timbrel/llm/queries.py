@@ -40,6 +40,12 @@ def p3_found(spark, sf_dir):
     return overlaps.overlap_pairs(overlaps.overlaps(table(spark, sf_dir, "emotion_samples")))
 
 
+def p3_files(spark, sf_dir):
+    """Training and held-out records of one audio file."""
+    found = overlaps.same_files(overlaps.records(table(spark, sf_dir, "emotion_samples")))
+    return found.select("train_id", "held_id").distinct()
+
+
 def p3_report(spark, sf_dir):
     samples = table(spark, sf_dir, "emotion_samples")
     return overlaps.overlap_report(overlaps.overlaps(samples), samples)
@@ -116,7 +122,7 @@ def p10_shared(spark, sf_dir):
     return spans.shared_share(table(spark, sf_dir, "documents"))
 
 
-_ALL = (p1_found, p1_reasons, p1_conversations, p2_found, p2_report, p2_sample, p3_found, p3_report, p4_found, p4_all_types, p5_found, p5_split, p5_split_linked, p5_report, p7_found, p7_reliability, p7_consensus, p8_ids, p8_round_trip, p8_offsets, p9_found, p9_report, p10_found, p10_shared)
+_ALL = (p1_found, p1_reasons, p1_conversations, p2_found, p2_report, p2_sample, p3_found, p3_files, p3_report, p4_found, p4_all_types, p5_found, p5_split, p5_split_linked, p5_report, p7_found, p7_reliability, p7_consensus, p8_ids, p8_round_trip, p8_offsets, p9_found, p9_report, p10_found, p10_shared)
 
 
 def queries() -> dict:

@@ -95,7 +95,8 @@ def symbols(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
         joint = young[:-1] & young[1:] & ~first[at[1:]]
         if not joint.any():
             break
-        # runs: equal neighbours become blocks, as many to a block as make it mature
+        # runs: equal neighbours become blocks, as many to a block as make it mature; a run of
+        # two blocks or more has one at each end, so a run cut off at one end keeps the other
         same = joint & (name[:-1] == name[1:])
         if same.any():
             lead = np.ones(len(name), bool)
@@ -104,7 +105,8 @@ def symbols(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
             count = np.diff(run, append=len(name))
             rank = np.arange(len(name)) - np.repeat(run, count)
             block = -(-MATURE // size)
-            keep = np.flatnonzero(rank % block == 0)
+            tail = np.repeat(count, count) - block
+            keep = np.flatnonzero((rank == 0) | (tail >= block) & ((rank % block == 0) & (rank <= tail) | (rank == tail)))
             held = np.diff(keep, append=len(name))
             name = np.where(held > 1, mix(name[keep] * _STEP + held.astype(_U)), name[keep])
             at = at[keep]

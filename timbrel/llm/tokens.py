@@ -93,10 +93,14 @@ class Encoder:
         ]
 
 
-def _lists(lists: list[list[int]]) -> pa.Array:
+def _lists(lists: list) -> pa.Array:
+    """An Arrow list array out of Python lists or NumPy arrays."""
     ends = np.zeros(len(lists) + 1, np.int32)
     np.cumsum([len(x) for x in lists], out=ends[1:])
-    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
+    if lists and isinstance(lists[0], np.ndarray):
+        flat = np.concatenate(lists).astype(np.int32)
+    else:
+        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
@@ -134,9 +138,10 @@ def encode_with_offsets(df: DataFrame, id_col: str = "doc_id", text_col: str = "
             for text, row in zip(texts, ids):
                 raw = np.frombuffer(text.encode(), np.uint8)
                 char = np.cumsum((raw & 0xC0) != 0x80) - 1  # the character of each byte
-                stop = np.cumsum(sizes[row]) if row else np.zeros(0, np.int64)
-                starts.append(char[stop - sizes[row]].tolist() if row else [])
-                ends.append((char[stop - 1] + 1).tolist() if row else [])
+                size = sizes[np.array(row, np.int64)]
+                stop = np.cumsum(size)
+                starts.append(char[stop - size].astype(np.int32))
+                ends.append((char[stop - 1] + 1).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids), _lists(starts), _lists(ends)], names=[id_col, "ids", "starts", "ends"])
 
     ints = T.ArrayType(T.IntegerType())

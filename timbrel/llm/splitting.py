@@ -57,9 +57,16 @@ def components(rec: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def torn_speakers(samples: DataFrame) -> DataFrame:
-    """``(dataset_name, speaker_id, splits)`` of speakers that the present splits tear apart."""
-    own = components(records(samples), ["speaker"]).where("speaker is not null")
-    return own.groupBy("component", "dataset_name", "speaker_id").agg(F.array_sort(F.collect_set("present")).alias("splits")).where("size(splits) > 1").drop("component")
+    """``(dataset_name, speaker_id, splits)`` of speakers that the present splits tear apart.
+
+    Records are pre-aggregated to one node for each speaker and present split, linked to
+    the speaker; a component with nodes of several splits is torn.
+    """
+    own = records(samples).where("speaker is not null").groupBy("dataset_name", "speaker_id", "speaker", "present").agg(F.count("*").alias("n_records"))
+    own = written(own.withColumn("node", F.xxhash64(F.lit("group"), "speaker", "present")), "groups")
+    found = frontier_components(own.select("node", "speaker"), "node", "speaker")
+    torn = own.join(found, "node").groupBy("component", "dataset_name", "speaker_id").agg(F.array_sort(F.collect_set("present")).alias("splits"))  # at most one entry a split
+    return torn.where("size(splits) > 1").drop("component")
 
 
 def _targets(targets: DataFrame) -> list[tuple[str, float]]:

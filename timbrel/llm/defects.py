@@ -108,12 +108,12 @@ def _is_empty(text: str | None) -> bool:
     return True
 
 
-def language(text: str) -> str | None:
+def language(tokens: list[str]) -> str | None:
     """One of the four languages, by at least three function words and a clear lead; else None."""
     count: dict[str, int] = {}
-    for w in words(text):
-        if w in _LANGUAGE:
-            count[_LANGUAGE[w]] = count.get(_LANGUAGE[w], 0) + 1
+    for x in map(_LANGUAGE.get, tokens):
+        if x:
+            count[x] = count.get(x, 0) + 1
     if not count:
         return None
     best, n = max(count.items(), key=lambda x: x[1])
@@ -130,57 +130,78 @@ def script(text: str) -> str | None:
     return max(count, key=count.get) if count else None
 
 
-def _instruction(prompt: str) -> str:
-    return next((x for x in prompt.splitlines() if x.strip()), "")
+class Prompt:
+    """What the rules need of a prompt, worked out once for all fields of its answer."""
 
+    def __init__(self, text: str | None):
+        self.text = text if text and text.strip() else ""
+        instruction = next((x for x in self.text.splitlines() if x.strip()), "")
+        self.words = words(self.text)
+        self.known = set(self.words)
+        self.language = language(words(_QUOTED.sub(" ", instruction)))
+        self.script = script(instruction)
+        self._runs: set | None = None
 
-def _is_copy(answer: list[str], prompt: list[str]) -> bool:
+    @property
+    def runs(self) -> set:
+        if self._runs is None:
+            w = self.words
+            self._runs = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+        return self._runs
+
+
+def _is_copy(answer: list[str], prompt: Prompt) -> bool:
     """Whether nearly all words of the answer stand in three-word runs of the prompt, and half of the prompt in it."""
-    if len(answer) < 3 or len(prompt) < 3:
+    if len(answer) < 3 or len(prompt.words) < 3:
         return False
-    runs = {tuple(prompt[i : i + 3]) for i in range(len(prompt) - 2)}
+    most = max(4, len(answer) // 20)
+    strange = 0
+    for w in answer:  # a word that the prompt lacks is in no run of it
+        if w not in prompt.known:
+            strange += 1
+            if strange > most:
+                return False
     own = [True] * len(answer)
     got = set()
     for i in range(len(answer) - 2):
         g = tuple(answer[i : i + 3])
-        if g in runs:
+        if g in prompt.runs:
             own[i] = own[i + 1] = own[i + 2] = False
             got.add(g)
     added = sum(own)
-    return added <= max(4, len(answer) // 20) and added < len(answer) // 2 and 2 * len(got) >= len(runs)
+    return added <= most and added < len(answer) // 2 and 2 * len(got) >= len(prompt.runs)
 
 
-def field_defects(text: str | None, prompt: str | None, sectioned: bool) -> set[str]:
+def field_defects(text: str | None, prompt: str | Prompt | None, sectioned: bool) -> set[str]:
     """All defect types of one field of an answer."""
     if _is_empty(text):
         return {"empty"}
+    prompt = prompt if isinstance(prompt, Prompt) else Prompt(prompt)
     out = set()
     body = text
     if sectioned:
         section = _REASONING.search(text)
         if section:
             body = section.group(1)
-            if _is_empty(body) and len(_SCORE.findall(text)):
+            if _is_empty(body) and _SCORE.search(text):
                 return {"empty"}
     plain = _MARKS.sub("", _plain(body)).strip()
     unquoted = _QUOTED.sub(" ", plain)
-    said = unquoted.replace("’", "'")
-    if len(words(said)) <= MAX_REFUSAL_WORDS and _REFUSAL.search(said):
+    said = words(unquoted)
+    if len(said) <= MAX_REFUSAL_WORDS and _REFUSAL.search(unquoted.replace("’", "'")):
         out.add("refusal")
-    if prompt and prompt.strip():
-        if _is_copy(words(body), words(prompt)):
+    if prompt.text:
+        if _is_copy(words(body), prompt):
             out.add("copy")
-        asked, given = language(_QUOTED.sub(" ", _instruction(prompt))), language(unquoted)
-        if asked and given and asked != given:
+        given = language(said)
+        if prompt.language and given:
+            if prompt.language != given:
+                out.add("language")
+        elif prompt.script and not unquoted.isascii() and script(unquoted) not in (None, "?", prompt.script):
             out.add("language")
-        elif script(unquoted) not in (None, script(_instruction(prompt)), "?") and script(_instruction(prompt)):
-            out.add("language")
-    if sectioned:
-        if len(_SCORE.findall(text.rpartition("[SCORES]")[2] if "[SCORES]" in text else "")) < SCORES:
-            out.add("truncated")
-    if plain and not _END.search(plain):
+    if sectioned and len(_SCORE.findall(text.rpartition("[SCORES]")[2] if "[SCORES]" in text else "")) < SCORES:
         out.add("truncated")
-    elif plain.count('"') % 2:
+    if plain and (not _END.search(plain[-20:]) or plain.count('"') % 2):
         out.add("truncated")
     return out
 
@@ -197,6 +218,7 @@ def defects(df: DataFrame, id_col: str, fields: dict[str, bool], prompt_col: str
         for b in batches:
             ids, kinds, ranks = [], [], []
             for key, prompt, *texts in zip(*(c.to_pylist() for c in b.columns)):
+                prompt = Prompt(prompt)
                 found = set().union(*(field_defects(t, prompt, s) for t, s in zip(texts, sectioned)))
                 for k in sorted(found, key=ORDER.index):
                     ids.append(key)

@@ -43,4 +43,4 @@ def test_related_records_stay_together_and_shares_are_met(spark):
 
 def test_empty(spark):
     df, t = corpus(spark), spark.createDataFrame(TARGETS, TGT)
-    assert S.assign(df.limit(0), t).count() == 0 and S.split_report(S.assign(df.limit(0), t), t).count() == 4
+    assert S.assign(df.limit(0), t).count() == 0 and {r.share for r in S.split_report(S.assign(df.limit(0), t), t).collect()} == {None}

@@ -110,5 +110,5 @@ def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     """Rows, share and whether the tolerance is met, of each wanted split."""
     n = assigned.groupBy(F.col("new_split").alias("split_name")).agg(F.count("*").alias("n_rows"))
     total = assigned.agg(F.count("*").alias("total"))
-    share = F.coalesce("n_rows", F.lit(0)) / F.col("total")
+    share = F.try_divide(F.coalesce("n_rows", F.lit(0)), F.col("total"))  # null if there are no records
     return targets.join(n, "split_name", "left").join(F.broadcast(total)).select("split_name", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.round(share, 6).alias("share"), (F.abs(share - F.col("target_share")) <= F.col("tolerance")).alias("met"))

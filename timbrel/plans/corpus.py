@@ -162,11 +162,19 @@ def partition_lines(spark, sf_dir):
     return corpora.parse_partitions(lines, ["line_id"], "raw_text")
 
 
+def consensus_ratings(spark, sf_dir):
+    """Partition lines of the podcast corpus with their label and the mean ratings, on 1 to 5, of at least three annotators."""
+    podcast = F.regexp_replace(F.lower("dataset_name"), "[ _-]", "") == "msppodcast"
+    part = partition_lines(spark, sf_dir).withColumn("utterance_id", F.regexp_replace("utterance_id", r"\.wav", ""))
+    s = _s(spark, sf_dir).where(podcast).groupBy("utterance_id").agg(F.min("emotion_raw_label").alias("emotion_raw_label"))
+    rated = corpora.rated_labels(table(spark, sf_dir, "vad_annotations").where(podcast), ["labelled_at", "loaded_at"]).where("n_annotators >= 3")
+    means = (F.round(n, 6).alias(n) for n in ("valence", "arousal", "dominance"))
+    return part.join(rated, "utterance_id").join(s, "utterance_id").select("utterance_id", "partition", "emotion_raw_label", *means, "n_annotators")
+
+
 def consensus_join(spark, sf_dir):
     """Partition lines joined with mean ratings of enough annotators, counted per partition and label."""
-    part = partition_lines(spark, sf_dir).withColumn("utterance_id", F.regexp_replace("utterance_id", r"\.wav", ""))
-    s = _s(spark, sf_dir).where(F.lower("dataset_name") == "msp_podcast").groupBy("utterance_id").agg(F.min("emotion_raw_label").alias("emotion_raw_label"))
-    return part.join(s, "utterance_id").groupBy("partition", "emotion_raw_label").agg(F.count("*").alias("n"))
+    return consensus_ratings(spark, sf_dir).groupBy("partition", "emotion_raw_label").agg(F.count("*").alias("n"))
 
 
 def annotator_list(spark, sf_dir):
@@ -213,7 +221,7 @@ def sft_summary(spark, sf_dir):
 _F = (
     label_map, emotion_distribution, distinct_speakers, dataset_summary, filter_by_emotion, filter_by_speaker, duration_band, cap_first_n, row_at_index, resume_remaining,
     union_corpora, vad_rescale, mean_vad, min_annotators, safe_float_default, emotion_filter_default, context_window, context_last_n, turn_numbering, filter_after_context,
-    dialogue_stats, multi_party, dialogue_ids, one_dialogue, coded_names, controlled_pairs, intensity_pairs, partition_lines, consensus_join, annotator_list, podcast_splits,
+    dialogue_stats, multi_party, dialogue_ids, one_dialogue, coded_names, controlled_pairs, intensity_pairs, partition_lines, consensus_ratings, consensus_join, annotator_list, podcast_splits,
     transcript_join, missing_labels, sft_split, sft_split_sizes, sft_summary,
 )
 QUERIES = {f.__name__: f for f in _F}
@@ -277,6 +285,13 @@ SQL = {
     "intensity_pairs": _ACTED + """select speaker_id, statement, repetition, arg_max(utterance_id, sample_id) filter (emotion_intensity = 'normal') as a, arg_max(utterance_id, sample_id) filter (emotion_intensity = 'strong') as b
       from a where categorical_emotion = 'angry' group by all having a is not null and b is not null""",
     "partition_lines": _PARTS + "select utterance_id, partition from p",
+    "consensus_ratings": _PARTS + """, s as (select utterance_id, min(emotion_raw_label) as emotion_raw_label from emotion_samples where regexp_replace(lower(dataset_name), '[ _-]', '', 'g') = 'msppodcast' group by 1),
+      a as (select *, upper(trim(annotator_id, ' ')) as person, case when dominance between 1 and 7 then dominance end as d from vad_annotations
+        where regexp_replace(lower(dataset_name), '[ _-]', '', 'g') = 'msppodcast' and valence between 1 and 7 and arousal between 1 and 7 and utterance_id is not null and length(upper(trim(annotator_id, ' '))) > 0),
+      l as (select * from a qualify row_number() over (partition by utterance_id, person order by labelled_at desc nulls last, loaded_at desc nulls last, valence desc, arousal desc, d desc nulls last) = 1),
+      m as (select utterance_id, avg(valence) as v, avg(arousal) as a, avg(d) as d, count(*) as n_annotators from l group by 1 having count(*) >= 3)
+      select m.utterance_id, partition, emotion_raw_label, round(1 + (v - 1) * 4 / 6, 6) as valence, round(1 + (a - 1) * 4 / 6, 6) as arousal, round(1 + (d - 1) * 4 / 6, 6) as dominance, n_annotators
+      from p join m on m.utterance_id = replace(p.utterance_id, '.wav', '') join s on s.utterance_id = m.utterance_id""",
     "consensus_join": _PARTS + """, s as (select utterance_id, min(emotion_raw_label) as emotion_raw_label from emotion_samples where lower(dataset_name) = 'msp_podcast' group by 1)
       select partition, emotion_raw_label, count(*) as n from p join s on s.utterance_id = replace(p.utterance_id, '.wav', '') group by 1, 2""",
     "annotator_list": """with a as (select utterance_id, list_sort(list(distinct upper(trim(annotator_id, ' '))) filter (annotator_id is not null)) as who from vad_annotations group by 1), s as (select distinct utterance_id from emotion_samples)

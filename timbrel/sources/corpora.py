@@ -195,6 +195,21 @@ def parse_detailed(df: DataFrame, top: float = 7.0, normalize: bool = True) -> D
     return df.select(key.alias("utterance_id"), vad.alias("vad")).where("utterance_id <> ''").groupBy("utterance_id").agg(F.collect_list("vad").alias("details"))
 
 
+def rated_labels(annotations: DataFrame, order: list[str], top: float = 7.0, normalize: bool = True) -> DataFrame:
+    """``(utterance_id, valence, arousal, dominance, n_annotators)``: mean ratings of every utterance.
+
+    A rating counts if it has a person and its valence and arousal are on the scale; of several
+    of a person for an utterance the last by ``order`` counts. Dominance is the mean of the
+    counting ratings whose dominance is on the scale.
+    """
+    on = lambda c: F.col(c).between(1.0, top)
+    person = F.upper(F.trim("annotator_id"))
+    rows = annotations.where(on("valence") & on("arousal") & F.col("utterance_id").isNotNull() & (F.length(person) > 0))
+    last = rows.groupBy("utterance_id", person.alias("person")).agg(F.max(F.struct(*order, "valence", "arousal", F.when(on("dominance"), F.col("dominance")).alias("dominance"))).alias("r"))
+    fit = lambda c: rescale(c, top) if normalize else c
+    return last.groupBy("utterance_id").agg(*(fit(F.avg(f"r.{n}")).alias(n) for n in ("valence", "arousal", "dominance")), F.count("*").alias("n_annotators"))
+
+
 def podcast_samples(partitions: DataFrame, labels: DataFrame, details: DataFrame | None, split: str = "train", min_annotators: int = 3, normalize: bool = True, top: float = 7.0) -> DataFrame:
     """Partition rows of a split with consensus labels of enough annotators, and all ratings."""
     fit = lambda c: rescale(F.col(c), top) if normalize else F.col(c)

@@ -13,8 +13,8 @@ the answer's type.
 * ``language``: most function words are of another language than the prompt's
   instruction (script decides where the prompt is of another script); quotations,
   headings and score lines are left out.
-* ``truncated``: the text ends without the end of a sentence, an opened quotation or
-  bracket is not closed, or scores are missing.
+* ``truncated``: the text ends without the end of a sentence, an opened quotation,
+  bracket or code fence is not closed anywhere in the field, or scores are missing.
 
 Defined cases: a null field is empty; with a null or blank prompt neither ``copy`` nor
 ``language`` can hold; a repeated record comes out once per type; an empty table gives
@@ -60,6 +60,12 @@ _SCORE = re.compile(r"^\s*[-*\d.]*\s*\w+\s*:\s*-?\d+(?:\.\d*)?\s*$", re.M)
 _SCORE_NAME = re.compile(r"^\s*\w+\s*:\s*$", re.M)
 _REASONING = re.compile(r"^\[REASONING\]\s*$(.*?)(?=^\[(?:S(?:C(?:O(?:R(?:E(?:S\]?)?)?)?)?)?)?\s*$|\Z)", re.M | re.S)
 _MARKS = re.compile(r"^[\s>*\-•]+", re.M)
+_FENCE = re.compile(r"^[ \t>*\-•]*(`{3,}|~{3,})", re.M)
+_CODE = re.compile(r"`[^`\n]+`")
+#: Not brackets: smileys and half-open intervals.
+_NO_BRACKET = re.compile(r"[:;=]['’]?-?[(\[{]|[\[\](]\s*[-+]?\d[\d.]*\s*[,;]\s*[-+]?\d[\d.]*\s*[\])\[]")
+_CLOSES = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》", "“": "”", "„": "“”", "«": "»", "»": "«"}
+_DELIMITER = re.compile(r"[()\[\]{}（）【】「」『』《》“”„«»]")
 _END = re.compile(r"""[.!?…。！？]["'”»’)\]]*\s*$""")
 
 # What is declined (to judge, answer, ...) and by which turn of phrase; whole words, quotations removed.
@@ -172,6 +178,44 @@ def _is_copy(answer: list[str], prompt: Prompt) -> bool:
     return added <= most and added < len(answer) // 2 and 2 * len(got) >= len(prompt.runs)
 
 
+def _closes_fences(text: str) -> tuple[bool, str]:
+    """Whether every code fence is closed, and the text without fenced and inline code."""
+    out, mark = [], None
+    for line in text.splitlines():
+        found = _FENCE.match(line)
+        if found and mark is None:
+            mark = found.group(1)
+        elif found and found.group(1).startswith(mark):
+            mark = None
+        elif mark is None:
+            out.append(line)
+    return mark is None, _CODE.sub(" ", "\n".join(out))
+
+
+def _open_delimiters(text: str) -> bool:
+    """Whether a bracket or paired quotation mark is opened and never closed; closing ones alone do not count."""
+    stack = []
+    for m in _DELIMITER.finditer(_NO_BRACKET.sub(" ", text)):
+        c, at, within = m.group(), m.start(), m.string
+        held = next((i for i in range(len(stack) - 1, -1, -1) if c in _CLOSES[stack[i]]), None)
+        if held is not None:
+            del stack[held]
+        elif c == "»":  # opens where it stands before a word
+            if (not at or within[at - 1].isspace() or within[at - 1] in "(„“") and within[at + 1 : at + 2].isalnum():
+                stack.append(c)
+        elif c == "“" and "“" in stack and (not at or within[at - 1] == "\n"):
+            continue  # a quotation opens anew at each of its paragraphs
+        elif c in _CLOSES:
+            stack.append(c)
+    return bool(stack)
+
+
+def _is_open(text: str) -> bool:
+    """Whether a fence, bracket or quotation of the text is not closed; what stands within quotations is not the writer's."""
+    closed, prose = _closes_fences(text) if "`" in text or "~~~" in text else (True, text)
+    return not closed or bool(_DELIMITER.search(prose)) and _open_delimiters(prose) and _open_delimiters(_QUOTED.sub(" ", prose))
+
+
 def field_defects(text: str | None, prompt: str | Prompt | None, sectioned: bool) -> set[str]:
     """All defect types of one field of an answer."""
     if _is_empty(text):
@@ -201,7 +245,7 @@ def field_defects(text: str | None, prompt: str | Prompt | None, sectioned: bool
             out.add("language")
     if sectioned and len(_SCORE.findall(text.rpartition("[SCORES]")[2] if "[SCORES]" in text else "")) < SCORES:
         out.add("truncated")
-    if plain and (not _END.search(plain[-20:]) or plain.count('"') % 2):
+    if plain and (not _END.search(plain[-20:]) or plain.count('"') % 2 or _is_open(_plain(text))):
         out.add("truncated")
     return out
 

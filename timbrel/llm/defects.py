@@ -7,7 +7,8 @@ the answer's type.
 
 * ``empty``: nothing but headings, labels and placeholders.
 * ``refusal``: a sentence outside quotations in which the writer declines, in English,
-  German, Spanish or French.
+  German, Spanish or French, at any length of the field, unless a rating or verdict
+  follows: what was declined then was a detail.
 * ``copy``: the words are those of the prompt, at least half of it, with next to
   nothing added.
 * ``language``: most function words are of another language than the prompt's
@@ -95,8 +96,16 @@ _REFUSALS = [
     r"\bne m'est pas (?:permis|possible)\b|\bje préfère ne pas\b|\bje refuse\b",
 ]
 _REFUSAL = re.compile("|".join(f"(?:{x})" for x in _REFUSALS), re.I)
-#: Words of a refusal answer besides the refusal itself: a greeting, a courtesy, a pointer elsewhere.
-MAX_REFUSAL_WORDS = 80
+# What a writer who does rate says after declining a detail: a number, or that the voice fits or fails to.
+_SCALE = re.compile(r"\b[0-7]\s*(?:to|-|–|bis|a|à|and|und|y|et)\s*\d\b", re.I)
+_VERDICT = re.compile(
+    r"\b(?:rat(?:e|ed|es|ing)|scor(?:e|es|ed|ing)|grade[ds]?|marks?|bewerte\w*|wertung|note[zr]?|punt\w+|califi\w+)\b\W+(?:\w+\W+){0,5}?[0-7](?:[.,]\d+)?\b|\b[0-7](?:[.,]\d+)?\s*(?:/|out of|von|de|sur)\s*[57]\b"
+    r"|\b(?:fits?|suits?|matches|match|agrees?|corresponds?|passt|passen|entspricht|encaja|concuerda|corresponde|convient|correspond)\b",
+    re.I,
+)
+#: Clauses with these assert nothing.
+_HEDGE = re.compile(r"\b(?:whether|if|unless|would|could|might|nicht|keine?n?|ob|wenn|würde|könnte|ni|si|sin|podría|pas|sans|pourrait)\b|\b(?:cannot|can't|won't|unable)\b|\bno (?:ratings?|scores?|grades?|marks?)\b|\bhow (?:well|far|much)\b", re.I)
+_CLAUSE = re.compile(r"[!?;\n]+|\.(?!\d)")
 
 
 def _plain(text: str) -> str:
@@ -178,6 +187,16 @@ def _is_copy(answer: list[str], prompt: Prompt) -> bool:
     return added <= most and added < len(answer) // 2 and 2 * len(got) >= len(prompt.runs)
 
 
+def _refuses(text: str) -> bool:
+    """Whether the writer declines in some sentence and neither rates nor judges after the last such one."""
+    last = None
+    for last in _REFUSAL.finditer(text):
+        pass
+    if last is None:
+        return False
+    return not any(_VERDICT.search(_SCALE.sub(" ", x)) and not _HEDGE.search(x) for x in _CLAUSE.split(text[last.end() :]))
+
+
 def _closes_fences(text: str) -> tuple[bool, str]:
     """Whether every code fence is closed, and the text without fenced and inline code."""
     out, mark = [], None
@@ -232,7 +251,7 @@ def field_defects(text: str | None, prompt: str | Prompt | None, sectioned: bool
     plain = _MARKS.sub("", _plain(body)).strip()
     unquoted = _QUOTED.sub(" ", plain)
     said = words(unquoted)
-    if len(said) <= MAX_REFUSAL_WORDS and _REFUSAL.search(unquoted.replace("’", "'")):
+    if _refuses(unquoted.replace("’", "'")):
         out.add("refusal")
     if prompt.text:
         if _is_copy(words(body), prompt):

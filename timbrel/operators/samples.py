@@ -63,9 +63,14 @@ def union_corpora(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def first_per_group(df: DataFrame, group: str, order: list[str], per_group: int, groups: int) -> DataFrame:
-    """The first rows of each of the first groups in name order: the bounded sample statistics are fitted on."""
-    chosen = df.where(F.col(group) != "").select(group).distinct().orderBy(group).limit(groups)
-    rows = df.join(F.broadcast(chosen), group)  # at most ``groups`` rows
+def first_per_group(df: DataFrame, group: str, order: list[str], per_group: int | None, groups: int | None) -> DataFrame:
+    """The first rows of each of the first groups in name order: the bounded sample statistics are fitted on. None means all."""
+    named = df.where(F.col(group) != "")
+    rows = named
+    if groups is not None:
+        chosen = named.select(group).distinct().orderBy(group).limit(groups)
+        rows = df.join(F.broadcast(chosen), group)  # at most ``groups`` rows
+    if per_group is None:
+        return rows
     w = Window.partitionBy(group).orderBy(*order)
     return rows.withColumn("_r", F.row_number().over(w)).where(f"_r <= {int(per_group)}").drop("_r")

@@ -15,17 +15,21 @@ from timbrel.sources.jsonl import write_jsonl
 from timbrel.taxonomy import SCALARS
 
 
-def feature_texts(clips: DataFrame, boundary_space: str = "raw", per_speaker: int = 5, speakers: int = 50) -> DataFrame:
+def feature_texts(clips: DataFrame, boundary_space: str = "raw", per_speaker: int | None = None, speakers: int | None = None) -> DataFrame:
     """``(utterance_id, features)`` of clips ``(utterance_id, speaker_id, content)``.
 
-    Features are extracted once and kept. Statistics and cut points are fitted on the
-    first utterances of the first speakers; clips that cannot be decoded are left out of
-    both. ``boundary_space`` says whether cut points come from raw or normalised values.
+    Features are extracted once and kept. Statistics and cut points are fitted on all
+    utterances of all speakers, or with ``per_speaker`` and ``speakers`` on the first
+    utterances of the first speakers (5 and 50 are those of the reference); clips that
+    cannot be decoded are left out of both. ``boundary_space`` says whether cut points come
+    from raw or normalised values.
     """
     wide = cut(signal.extract(clips, ["utterance_id", "speaker_id"])).where("error is null")
     wide = wide.select("utterance_id", F.coalesce("speaker_id", F.lit("unknown")).alias("speaker"), F.array(*SCALARS).alias("x"))
     long = normalize.long_features(wide, ["utterance_id", "speaker"], "x", SCALARS)
-    fit = normalize.long_features(samples.first_per_group(wide, "speaker", ["utterance_id"], per_speaker, speakers), ["utterance_id", "speaker"], "x", SCALARS)
+    fit = long
+    if per_speaker is not None or speakers is not None:
+        fit = normalize.long_features(samples.first_per_group(wide, "speaker", ["utterance_id"], per_speaker, speakers), ["utterance_id", "speaker"], "x", SCALARS)
     stats = normalize.speaker_stats(fit)
     z = normalize.znorm(long, stats)
     cuts = normalize.quantile_cuts(fit) if boundary_space == "raw" else normalize.quantile_cuts(normalize.znorm(fit, stats), "z")

@@ -3,9 +3,9 @@
 MinHash containment search. A leaked passage is any ``min_words`` successive words, so
 the sets compared are windows of that size, not whole items: an item is cut into
 windows, each window is signed with the minimum hash of its five-word shingles, and
-the distinct signatures of an item are its sketch. Items are partitioned by size, and
-a sketch says in which size class it belongs; within a class all sketches have about
-the same number of signatures. A document that holds the window also holds the shingle
+the distinct signatures of an item are its sketch. A sketch says in which size class
+its item belongs, but the search is not partitioned by it: windows are all of one size,
+so their signatures need no classes. A document that holds the window also holds the shingle
 with that minimum, so every true case is found, and only documents with a signature of
 some item are verified, by exact containment of the ``min_words``-word shingles.
 

@@ -8,8 +8,11 @@ the outermost symbol at either end may differ in each round. A symbol of ``MATUR
 more characters takes no further part, which bounds what is lost at the ends.
 
 The symbols left at the end are joined to chains of at least ``CHAIN`` characters. A
-shared span of ``min_chars`` characters holds at least one whole chain, so records
-without a chain in common share no such span. Chains are grouped by name; those of one
+shared span of ``min_chars`` characters of ordinary text holds at least one whole chain.
+How a long run of one character is cut depends on its whole length, so a span that holds
+``MATURE`` or more equal characters in a row may lose its chains; windows around such runs
+also give the least of their ``CHAIN``-character hashes, which two texts that share the
+window have in common. Chains are grouped by name; those of one
 record only, nearly all, are dropped after a map-side count. Groups of up to
 ``MAX_GROUP`` texts give candidate pairs. A larger group is not paired: its texts are
 hashed anew at every window of ``min_chars`` characters over the chain, and windows are
@@ -141,7 +144,35 @@ def chains(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for k in range(int(count.max(initial=0))):
         more = k < count
         h[more] = h[more] * _STEP + name[fits[more] + k]
-    return mix(h + count.astype(_U)), at[fits], end[last]
+    key, lo, hi = mix(h + count.astype(_U)), at[fits], end[last]
+    more_key, more_at = _run_windows(codes, starts)
+    return np.concatenate([key, more_key]), np.concatenate([lo, more_at]), np.concatenate([hi, more_at + CHAIN])
+
+
+def _run_windows(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least hashes of ``CHAIN`` characters, and their offsets, of all windows of ``MIN_CHARS`` that hold a run of ``MATURE`` equal characters."""
+    keys, places = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1], [True]])) if len(codes) else np.zeros(1, np.int64)
+    runs = np.flatnonzero(np.diff(edge) >= MATURE)
+    for text in np.unique(np.concatenate([np.searchsorted(starts, edge[runs], "right") - 1, np.searchsorted(starts, edge[runs + 1] - 1, "right") - 1])).tolist():
+        own = codes[starts[text] : starts[text + 1]]
+        windows = len(own) - MIN_CHARS + 1
+        if windows < 1:
+            continue
+        equal = np.concatenate([[0], np.cumsum(own[1:] == own[:-1])])
+        full = np.flatnonzero(equal[MATURE - 1 :] - equal[: len(own) - MATURE + 1] == MATURE - 1)  # where MATURE equal characters start
+        held = np.zeros(len(own) + 1, np.int64)
+        np.add.at(held, np.maximum(full - (MIN_CHARS - MATURE), 0), 1)
+        np.add.at(held, full + 1, -1)
+        wanted = np.flatnonzero(np.cumsum(held)[:windows])
+        if not len(wanted):
+            continue
+        h = _windows(own, 0, len(own), CHAIN)
+        view = np.lib.stride_tricks.sliding_window_view(h, MIN_CHARS - CHAIN + 1)
+        least = np.unique(np.concatenate([wanted[i : i + 4096] + view[wanted[i : i + 4096]].argmin(axis=1) for i in range(0, len(wanted), 4096)]))
+        keys.append(mix(h[least] + _U(1)))
+        places.append(least + starts[text])
+    return np.concatenate(keys), np.concatenate(places)
 
 
 def _pieces(texts: list[str]) -> Iterator[slice]:

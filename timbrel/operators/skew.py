@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key with more than this share of all rows is hot; so there are at most 1 / HOT_SHARE hot keys.
-HOT_SHARE = 0.001
+#: A key with more than this share of all rows is hot; so there are at most 1 / HOT_SHARE hot keys, a few MB to broadcast,
+#: and a cold key of 10^12 rows has 10^7 at most.
+HOT_SHARE = 0.00001
 #: A key with fewer rows than this is never hot.
 HOT_LEAST = 50_000
 

@@ -26,3 +26,20 @@ def hot_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str = "row
     hot = F.broadcast(small.where(F.col(rows) > limit))
     cold = big.join(F.broadcast(small.where(F.col(rows) > limit).select(*keys)), keys, "left_anti")
     return big.join(hot, keys).unionByName(cold.join(small.where(F.col(rows) <= limit), keys))
+
+
+def salted_join(big: DataFrame, many: DataFrame, counts: DataFrame, keys: list[str], salts: int = 64, share: float = HOT_SHARE, least: int = HOT_LEAST) -> DataFrame:
+    """Inner join of ``big`` with ``many``, which may have several rows per key; ``counts`` holds the ``rows`` of each key in ``big``.
+
+    Rows of hot keys are spread over ``salts`` parts and meet as many copies of the other side's
+    rows of those keys. All inputs are read more than once, so they should be stored tables.
+    """
+    top = counts.agg(F.max("rows").alias("m"), F.sum("rows").alias("s")).first()
+    limit = max(least, int(share * (top.s or 0)))
+    if (top.m or 0) <= limit:
+        return big.join(many, keys)
+    hot = F.broadcast(counts.where(F.col("rows") > limit).select(*keys))
+    cold = big.join(hot, keys, "left_anti").join(many.join(hot, keys, "left_anti"), keys)
+    spread = big.join(hot, keys, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
+    copies = many.join(hot, keys, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    return cold.unionByName(spread.join(copies, [*keys, "_salt"]).drop("_salt"))

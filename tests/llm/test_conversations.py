@@ -93,3 +93,21 @@ def test_components(spark, kind, monkeypatch):
     got = {r.node: r.component for r in graph.frontier_components(df).collect()}
     assert set(got) == set(want)
     assert len({(got[x], want[x]) for x in want}) == len(set(want.values())) == len(set(got.values()))
+
+
+def test_records_find_their_conversation_by_what_they_quote(spark):
+    rng = random.Random(9)
+    say = lambda: " ".join(rng.choices(["pitch", "voice", "tone", "falls", "rises", "calm", "sad"], k=9))
+    talks = {d: [(rng.choice("AB"), "Hi." if i == 3 else say()) for i in range(12)] for d in range(6)}
+    rows = []
+    for d, turns in talks.items():
+        for i, (who, text) in enumerate(turns):
+            if i % 4 != 2:  # records are missing
+                rows.append((100 * d + i, "meld", who, text, [f"[{w}] {t}" for w, t in turns[max(0, i - 3) : i]], None))
+    rows += [(rows[0][0], *rows[0][1:]), (900, "MELD", None, None, None, None), (901, "meld", "A", "Hi.", [], None), (902, "iemocap", "A", talks[0][0][1], [], None), (None, "meld", "A", "x", [], None)]
+    df = spark.createDataFrame(rows, "sample_id long, dataset_name string, speaker_id string, transcript string, context_turns array<string>, rows string")
+    got = {r.sample_id: r for r in C.assemble_quoting(df).collect()}
+    assert len(got) == 56 and got[900].n_records == got[901].n_records == 1
+    for d in talks:
+        assert {got[i].conversation for i in got if i // 100 == d and i < 900} == {got[100 * d].conversation} and got[100 * d].n_records == 9
+    assert len({r.conversation for r in got.values()}) == 8 and C.assemble_quoting(df.limit(0)).count() == 0

@@ -6,14 +6,15 @@ section must reach its last score. All rules that trigger are returned; the firs
 the answer's type.
 
 * ``empty``: nothing but headings, labels and placeholders.
-* ``refusal``: a sentence outside quotations in which the writer declines, in English,
-  German, Spanish or French, at any length of the field, unless a rating or verdict
-  follows: what was declined then was a detail.
+* ``refusal``: a sentence outside quotations in which the writer, not one reported of,
+  declines, in English, German, Spanish, French, Italian, Portuguese, Dutch or Chinese, at any
+  length of the field, unless a rating or verdict follows: what was declined then was a detail.
 * ``copy``: the words are those of the prompt, at least half of it, with next to
   nothing added.
-* ``language``: most function words are of another language than the prompt's
-  instruction (script decides where the prompt is of another script); quotations,
-  headings and score lines are left out.
+* ``language``: most function words are of another language (of those but Chinese) than the
+  prompt's instruction, which is all of the prompt but quotations and labelled lines, or if that
+  is too short for a language all but quotations; else most letters are of another script.
+  Quotations, headings and score lines of the answer are left out.
 * ``truncated``: the text ends without the end of a sentence, an opened quotation,
   bracket or code fence is not closed anywhere in the field, or scores are missing.
 
@@ -47,10 +48,20 @@ FUNCTION_WORDS = {
     "es": "el los las y es que con una un del se por para más pero como mientras aunque porque muy todavía está queda resulta suena oye creemos hacia durante poco antes sino toda parece vuelve modo".split(),
     "fr": "le les des et est que avec une un du se pour plus mais comme tandis dans sur nous pensons reste devient semble paraît encore au aux pendant avant après demeure ne pas alors si bien parce qu entend l".split(),
 }
+#: Words that mark a further language and are not among those above.
+FURTHER_WORDS = {
+    "it": "il lo gli di che è non sono della dello delle nella nel questa questo anche più molto alla allo perché dal dalla come ed degli sul sulla".split(),
+    "pt": "não uma com do da dos das ao à pelo pela mais muito é são também isso esta seu numa num mas ou nos às".split(),
+    "nl": "het een van niet dat met op zijn wordt maar ook naar bij deze dit voor aan door heel nog waarin klinkt omdat".split(),
+}
 _LANGUAGE = {}
 for _lang, _list in FUNCTION_WORDS.items():
     for _w in _list:
         _LANGUAGE.setdefault(_w, set()).add(_lang)
+for _lang, _list in FURTHER_WORDS.items():
+    for _w in _list:
+        if not any(x in FUNCTION_WORDS for x in _LANGUAGE.get(_w, ())):
+            _LANGUAGE.setdefault(_w, set()).add(_lang)
 #: Words of one language only.
 _LANGUAGE = {w: next(iter(x)) for w, x in _LANGUAGE.items() if len(x) == 1}
 
@@ -71,7 +82,7 @@ _END = re.compile(r"""[.!?…。！？]["'”»’)\]]*\s*$""")
 
 # What is declined (to judge, answer, ...) and by which turn of phrase; whole words, quotations removed.
 _TASK = r"(?:rat(?:e|ing)|scor(?:e|es|ing)|assess(?:ment|ing)?|evaluat(?:e|ion|ing)|judg(?:e|ing|e?ment)|answer(?:ing)?|comment(?:ing)?|help(?:ing)?|provide|assist|respond|analy[sz]e|infer(?:ring)?|grade|opinion)"
-_REFUSALS = [
+_ENGLISH = [
     rf"\bI(?: am|'m)? ?(?:cannot|can't|can not|could not|couldn't|won't|will not|do not|don't|am unable to|'m unable to|unable to|not able to|am not able to|'m not able to)(?: be able to)?(?: \w+){{0,3}} {_TASK}\b",
     rf"\b(?:not (?:be )?able|unable) to (?:\w+ ){{0,2}}{_TASK}\b",
     r"\bI(?:'d| would| must| have to| need to)? ?(?:rather not|prefer not|decline|refuse|pass on)\b",
@@ -85,17 +96,49 @@ _REFUSALS = [
     r"\bcontent I (?:don't|do not|cannot|can't) \w+\b|\bdo not answer such\b|\bI do not answer\b",
     rf"\b(?:guidelines|policy|policies|rules|instructions) (?:do not|don't|does not|doesn't|forbid|prohibit|prevent)\b",
     r"\bask a human rater\b|\bsomething I(?:'d| would) (?:rather|prefer) not\b",
-    # German
+]
+_GERMAN = [
     r"\b(?:kann|darf|möchte|will|werde|könnte) (?:ich )?(?:\w+ ){0,8}(?:nicht|keine?n?) (?:\w+ ){0,3}(?:bewerten|beurteilen|einschätzen|vornehmen|abgeben|beantworten|einschätzung|bewertung|geben|helfen)\b",
     r"\bich lehne\b|\bes tut mir leid\b.*\bnicht\b|\bbitte um verständnis\b|\bnicht in der lage\b.*\b(?:bewerten|beurteilen)\b",
-    # Spanish
+]
+_SPANISH = [
     r"\bno (?:puedo|podré|podría|quiero|debo|es posible|me es posible|me está permitido|se me permite)\b(?: \w+){0,3} (?:evaluar|calificar|puntuar|opinar|juzgar|responder|valorar|ayudar|dar)\b",
     r"\bprefiero no (?:responder|evaluar|opinar|contestar|juzgar|puntuar|calificar)\b|\bme niego a\b",
-    # French
+]
+_FRENCH = [
     r"\bje ne (?:peux|puis|suis|veux|souhaite|saurais|pourrai|dois)\b(?: pas)?(?: \w+){0,4} (?:évaluer|noter|juger|répondre|commenter|aider|donner)\b",
     r"\bne m'est pas (?:permis|possible)\b|\bje préfère ne pas\b|\bje refuse\b",
 ]
-_REFUSAL = re.compile("|".join(f"(?:{x})" for x in _REFUSALS), re.I)
+_ITALIAN = [
+    r"\bnon (?:posso|potrei|voglio|intendo|riesco a|mi è possibile|sono in grado di)\b(?: \w+){0,4} (?:valutare|giudicare|rispondere|assegnare|commentare|aiutar\w*|dare|esprimere)\b|\bpreferisco non\b|\bmi rifiuto\b",
+]
+_PORTUGUESE = [
+    r"\bnão (?:posso|consigo|vou|quero|devo|me é possível)\b(?: \w+){0,4} (?:avaliar|julgar|responder|pontuar|comentar|ajudar|dar)\b|\bprefiro não\b|\brecuso-me\b|\bme recuso\b",
+]
+_DUTCH = [
+    r"\bik (?:kan|mag|wil|zal)\b(?: \w+){0,6} (?:niet|geen)\b(?: \w+){0,3} (?:beoordelen|beantwoorden|geven|helpen|inschatten)\b|\bik weiger\b",
+]
+_CHINESE = [
+    r"(?:无法|不能|不便|拒绝|不予)[^。！？\n]{0,12}(?:评分|评价|回答|判断|评估|打分)",
+]
+#: Each language's phrases, with parts of which every phrase has one, so that most texts need no search.
+_REFUSALS = [
+    (parts.split("|"), re.compile("|".join(f"(?:{x})" for x in phrases), re.I))
+    for parts, phrases in (
+        ("not|n't|unable|decline|refuse|pass on|appropriate|no |been |impossible|beyond|outside|leave the|nothing|content i|answer|guidelines|polic|rules|instructions|human rater|something i", _ENGLISH),
+        ("kann|darf|möchte|will|werde|könnte|ich lehne|leid|verständnis|in der lage", _GERMAN), ("no |prefiero no|me niego", _SPANISH), ("je ne|m'est pas|je préfère|je refuse", _FRENCH),
+        ("non|mi rifiuto", _ITALIAN), ("não |recus", _PORTUGUESE), ("ik ", _DUTCH), ("无法|不能|不便|拒绝|不予", _CHINESE),
+    )
+]
+#: What turns a clause into something told of another, or of what another says.
+_REPORTED = re.compile(
+    r"\b(?:he|she|they|who|(?:the|this|that|a|his|her) (?:\w+ )?(?:speaker|caller|voice|actor|actress|man|woman|person|listener|narrator|character))(?:'s)?\b"
+    r"|\b(?:says?|said|claims?|claimed|tells?|told|states?|replie[sd]|sagt|meint|behauptet|dice|dijo|afirma|dit|affirme)\b",
+    re.I,
+)
+_FIRST_PERSON = re.compile(r"\b(?:I|I'm|me|my|we|our)\b", re.I)
+_SAYING = re.compile(r"\b(?:says?|said|claims?|claimed|tells?|told|states?|replie[sd]|sagt|meint|behauptet|dice|dijo|afirma|dit|affirme)\b(?: (?:to )?(?:him|her|me|us|them|(?:the|a) \w+))?(?:,? (?:that|dass|que))?\W*$", re.I)
+_SENTENCE = re.compile(r"[.!?;\n。！？]")
 # What a writer who does rate says after declining a detail: a number, or that the voice fits or fails to.
 _SCALE = re.compile(r"\b[0-7]\s*(?:to|-|–|bis|a|à|and|und|y|et)\s*\d\b", re.I)
 _VERDICT = re.compile(
@@ -124,7 +167,7 @@ def _is_empty(text: str | None) -> bool:
 
 
 def language(tokens: list[str]) -> str | None:
-    """One of the four languages, by at least three function words and a clear lead; else None."""
+    """One of the seven languages, by at least three function words and a clear lead; else None."""
     count: dict[str, int] = {}
     for x in map(_LANGUAGE.get, tokens):
         if x:
@@ -145,16 +188,21 @@ def script(text: str) -> str | None:
     return max(count, key=count.get) if count else None
 
 
+#: Lines that are material of a prompt and not its instruction.
+_MATERIAL = re.compile(r"^\s*\w[\w ]{0,30}:.*$", re.M)
+
+
 class Prompt:
     """What the rules need of a prompt, worked out once for all fields of its answer."""
 
     def __init__(self, text: str | None):
         self.text = text if text and text.strip() else ""
-        instruction = next((x for x in self.text.splitlines() if x.strip()), "")
+        said = _QUOTED.sub(" ", self.text)
+        instruction = _MATERIAL.sub("", said)
         self.words = words(self.text)
         self.known = set(self.words)
-        self.language = language(words(_QUOTED.sub(" ", instruction)))
-        self.script = script(instruction)
+        self.language = language(words(instruction)) or language(words(said))
+        self.script = script(instruction) or script(said)
         self._runs: set | None = None
 
     @property
@@ -187,11 +235,21 @@ def _is_copy(answer: list[str], prompt: Prompt) -> bool:
     return added <= most and added < len(answer) // 2 and 2 * len(got) >= len(prompt.runs)
 
 
+def _is_reported(text: str, found: re.Match) -> bool:
+    """Whether what declines is told of another: no first person does it, or it follows a verb of saying."""
+    start = max((m.end() for m in _SENTENCE.finditer(text, 0, found.start())), default=0)
+    before = text[start : found.start()]
+    return bool(_SAYING.search(before)) or bool(_REPORTED.search(before)) and not _FIRST_PERSON.search(before + found.group())
+
+
 def _refuses(text: str) -> bool:
     """Whether the writer declines in some sentence and neither rates nor judges after the last such one."""
-    last = None
-    for last in _REFUSAL.finditer(text):
-        pass
+    last, low = None, text.lower()
+    for parts, phrases in _REFUSALS:
+        if any(x in low for x in parts):
+            for found in phrases.finditer(text):
+                if (last is None or found.end() > last.end()) and not _is_reported(text, found):
+                    last = found
     if last is None:
         return False
     return not any(_VERDICT.search(_SCALE.sub(" ", x)) and not _HEDGE.search(x) for x in _CLAUSE.split(text[last.end() :]))
@@ -260,7 +318,7 @@ def field_defects(text: str | None, prompt: str | Prompt | None, sectioned: bool
         if prompt.language and given:
             if prompt.language != given:
                 out.add("language")
-        elif prompt.script and not unquoted.isascii() and script(unquoted) not in (None, "?", prompt.script):
+        elif prompt.script and not (prompt.script == "LATIN" and unquoted.isascii()) and script(unquoted) not in (None, "?", prompt.script):
             out.add("language")
     if sectioned and len(_SCORE.findall(text.rpartition("[SCORES]")[2] if "[SCORES]" in text else "")) < SCORES:
         out.add("truncated")

@@ -11,8 +11,10 @@ from timbrel.session import cut
 MAX_ROUNDS = 60
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether all links lead from single-linked nodes to roots, so that each component is a star around its smallest node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(False).alias("root")).union(edges.select("v", F.lit(0), F.lit(True)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.bool_or("root").alias("root")).where("up > 1 or up > 0 and root").isEmpty()
 
 
 def star_components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -20,8 +22,8 @@ def star_components(links: DataFrame, src: str = "src", dst: str = "dst") -> Dat
 
     Alternating large-star and small-star joins: the first links a node's larger
     neighbours to its smallest neighbour, the second its smaller ones and itself, until
-    nothing changes. Rounds grow with the logarithm of the longest path. A hub is never
-    gathered: its smallest neighbour comes from a map-side aggregate and is joined back
+    every component is a star. Rounds grow with the logarithm of the longest path. A hub is
+    never gathered: its smallest neighbour comes from a map-side aggregate and is joined back
     by :func:`hot_join`.
 
     Links to itself, repeated and null links are ignored; no link gives no row.
@@ -29,8 +31,9 @@ def star_components(links: DataFrame, src: str = "src", dst: str = "dst") -> Dat
     edges = cut(
         links.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).distinct()
     )
-    state = _state(edges)
     for _ in range(MAX_ROUNDS):
+        if _settled(edges):
+            break
         # large-star: over both directions, larger neighbours go to the smallest of the neighbourhood
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("rows"))
@@ -39,10 +42,6 @@ def star_components(links: DataFrame, src: str = "src", dst: str = "dst") -> Dat
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows"))
         small = hot_join(large, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v")).distinct()
@@ -68,17 +67,13 @@ def frontier_components(links: DataFrame, src: str = "src", dst: str = "dst") ->
     for _ in range(MAX_ROUNDS):
         if frontier.isEmpty():
             break
-        reached = cut(
-            hot_join(adjacent, frontier.select(F.col("node").alias("u"), "label", "rows"), ["u"])
-            .select(F.col("v").alias("node"), "label")
-            .distinct()
-        )
-        old = visited.select("node", F.col("label").alias("own"))
+        reached = cut(hot_join(adjacent, frontier.select(F.col("node").alias("u"), "label", "rows"), ["u"]).select(F.col("v").alias("node"), "label").distinct())
         # a node reached by several labels joins them; one reached before joins its own with the new
-        first = reached.groupBy("node").agg(F.min("label").alias("low"))
-        held = first.join(old, "node", "left").select("node", F.coalesce("own", "low").alias("own"), F.col("own").isNull().alias("fresh"))
-        held = cut(held)
-        met = reached.join(held, "node").where("label <> own").select(F.least("label", "own").alias("src"), F.greatest("label", "own").alias("dst")).distinct()
+        first = reached.groupBy("node").agg(F.min("label").alias("low"), F.count("*").alias("rows"))
+        old = visited.select("node", F.col("label").alias("own"))
+        held = cut(first.join(old, "node", "left").select("node", "rows", F.coalesce("own", "low").alias("own"), F.col("own").isNull().alias("fresh")))
+        several = held.where("rows > 1 or not fresh").select("node", "own", "rows")
+        met = hot_join(reached, several, ["node"]).where("label <> own").select(F.least("label", "own").alias("src"), F.greatest("label", "own").alias("dst")).distinct()
         meetings = met if meetings is None else meetings.union(met)
         frontier = cut(held.where("fresh").select("node", F.col("own").alias("label")).join(degree.select("node", "rows"), "node"))
         visited = visited.union(frontier)
@@ -87,4 +82,5 @@ def frontier_components(links: DataFrame, src: str = "src", dst: str = "dst") ->
     if meetings is None:
         return visited.select("node", F.col("label").alias("component"))
     merged = star_components(meetings).select(F.col("node").alias("label"), "component")
-    return visited.select("node", "label").join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+    size = visited.groupBy("label").agg(F.count("*").alias("rows")).join(merged, "label", "left")
+    return hot_join(visited.select("node", "label"), cut(size.select("label", F.coalesce("component", "label").alias("component"), "rows")), ["label"]).select("node", "component")

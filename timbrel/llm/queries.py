@@ -23,9 +23,14 @@ def p1_conversations(spark, sf_dir):
     return conversations.conversations(table(spark, sf_dir, "meld_utterances"), table(spark, sf_dir, "emotion_samples"))
 
 
+def p1_assembled(spark, sf_dir):
+    """Conversations of the dialogue corpus' records out of what they quote, identifiers unseen."""
+    return conversations.assemble_quoting(table(spark, sf_dir, "emotion_samples"))
+
+
 def p2_found(spark, sf_dir):
-    """Pairs of which the corpus lacks rows that the plan asks for."""
-    return p2_report(spark, sf_dir).where("missing > 0").select("dataset_name", "categorical_emotion")
+    """Pairs that the repaired sample leaves short, as all their records are drawn and do not do."""
+    return p2_report(spark, sf_dir).where("cause = 'records'").select("dataset_name", "categorical_emotion")
 
 
 def p2_report(spark, sf_dir):
@@ -69,7 +74,7 @@ def p5_split(spark, sf_dir):
 
 def p5_split_linked(spark, sf_dir):
     """As p5_split, but records of one audio file are related too."""
-    return splitting.assign(table(spark, sf_dir, "emotion_samples"), table(spark, sf_dir, "split_targets"), ["speaker", "file"])
+    return splitting.assign(table(spark, sf_dir, "emotion_samples"), table(spark, sf_dir, "split_targets"), ["spelling", "speaker", "file"])
 
 
 def p5_report(spark, sf_dir):
@@ -78,7 +83,7 @@ def p5_report(spark, sf_dir):
 
 
 def p7_found(spark, sf_dir):
-    return consensus.unreliable(consensus.reliability(table(spark, sf_dir, "vad_annotations")))
+    return consensus.unreliable(consensus.agreement(table(spark, sf_dir, "vad_annotations")))
 
 
 def p7_reliability(spark, sf_dir):
@@ -122,7 +127,7 @@ def p10_shared(spark, sf_dir):
     return spans.shared_share(table(spark, sf_dir, "documents"))
 
 
-_ALL = (p1_found, p1_reasons, p1_conversations, p2_found, p2_report, p2_sample, p3_found, p3_files, p3_report, p4_found, p4_all_types, p5_found, p5_split, p5_split_linked, p5_report, p7_found, p7_reliability, p7_consensus, p8_ids, p8_round_trip, p8_offsets, p9_found, p9_report, p10_found, p10_shared)
+_ALL = (p1_found, p1_reasons, p1_conversations, p1_assembled, p2_found, p2_report, p2_sample, p3_found, p3_files, p3_report, p4_found, p4_all_types, p5_found, p5_split, p5_split_linked, p5_report, p7_found, p7_reliability, p7_consensus, p8_ids, p8_round_trip, p8_offsets, p9_found, p9_report, p10_found, p10_shared)
 
 
 def queries() -> dict:

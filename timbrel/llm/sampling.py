@@ -8,6 +8,12 @@ deviation. The counts are then drawn from the records: each has a random number
 by seed and id, and a signature gets those with the smallest ones. Their cut-off comes
 from a histogram, so no signature, however large, is sorted in one task.
 
+The floors come first: they may push other signatures below their targets, and floors
+that exceed the sample together are lowered in proportion, so that no more than the wanted
+rows are ever drawn. What stays short of the larger of target and floor is reported with
+its cause, read off the repaired sample: ``records`` where all a signature has is drawn,
+``room`` where it has more, but floors and the size of the sample leave no place.
+
 Defined cases: an id counts once; records whose signature is not wanted are never
 drawn; a signature with too few records gives all it has and is reported; if all
 together are too few, the sample is smaller; an empty table gives an empty sample and
@@ -35,12 +41,25 @@ def signatures(samples: DataFrame) -> DataFrame:
     return s.where("sample_id is not null and dataset_name is not null and categorical_emotion is not null").distinct()
 
 
+def _floors(have: dict, floor: dict, total: int) -> dict:
+    """The rows every signature gets at least: its floor as far as it has records, lowered in proportion if all exceed the sample."""
+    held = {k: min(floor[k], have[k]) for k in have}
+    whole = sum(held.values())
+    if whole <= total:
+        return held
+    cut = {k: n * total // whole for k, n in held.items()}
+    for k in sorted(held, key=lambda k: (-(held[k] * total % whole), k))[: total - sum(cut.values())]:
+        cut[k] += 1
+    return cut
+
+
 def allocate(available: dict, target: dict, floor: dict, total: int, seed: int = SEED) -> dict:
     """Rows to draw of each signature: a random floor-satisfying start, then swaps to the least deviation."""
     rng = random.Random(seed)
     keys = sorted(target)
     have = {k: available.get(k, 0) for k in keys}
-    count = {k: min(floor[k], have[k]) for k in keys}
+    count = _floors(have, floor, total)
+    least = dict(count)
     room = {k: have[k] - count[k] for k in keys}
     left = min(total, sum(have.values())) - sum(count.values())
     while left > 0:  # a random filling, weighted by what is left of each signature
@@ -51,17 +70,32 @@ def allocate(available: dict, target: dict, floor: dict, total: int, seed: int =
         room[k] -= n
         left -= n
     while True:
-        over = [k for k in keys if count[k] > max(target[k], min(floor[k], have[k]))]
+        over = [k for k in keys if count[k] > max(target[k], least[k])]
         under = [k for k in keys if count[k] < min(target[k], have[k])]
         if not over or not under:
             return count
         a = max(over, key=lambda k: (count[k] - target[k], k))
         b = max(under, key=lambda k: (target[k] - count[k], k))
-        n = min(count[a] - max(target[a], min(floor[a], have[a])), min(target[b], have[b]) - count[b])
+        n = min(count[a] - max(target[a], least[a]), min(target[b], have[b]) - count[b])
         count[a] -= n
         count[b] += n
 
 
+def unmet(drawn: dict, available: dict, target: dict, floor: dict, total: int) -> dict:
+    """``(short, cause)`` of each signature that the repaired sample leaves short of the larger of target and floor.
+
+    A signature that is drawn whole lacks ``records``. In a full sample one may be short with records
+    left: floors took its ``room``; it lacks records too if all it has would not do.
+    """
+    full = bool(drawn) and sum(drawn.values()) == total
+    out = {}
+    for k, n in drawn.items():
+        want, have = max(target[k], floor[k]), available.get(k, 0)
+        if n < want:
+            out[k] = (want - n, "records" if n == have or full and have < want else "room")
+    return out
+
+
 def _targets(targets: DataFrame) -> list:
     rows = targets.where("dataset_name is not null and categorical_emotion is not null").limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS:
@@ -70,23 +104,24 @@ def _targets(targets: DataFrame) -> list:
 
 
 def plan(samples: DataFrame, targets: DataFrame, seed: int = SEED) -> list[tuple]:
-    """``(dataset_name, categorical_emotion, target_rows, min_rows, available, drawn)`` of each target row."""
+    """``(dataset_name, categorical_emotion, target_rows, min_rows, available, drawn, short, cause)`` of each target row."""
     rows = _targets(targets)
     total = max([r.sample_rows or 0 for r in rows], default=0)
-    wanted = {(r.dataset_name, r.categorical_emotion): (round((r.target_share or 0) * total), r.min_rows or 0) for r in rows}
+    target = {(r.dataset_name, r.categorical_emotion): round((r.target_share or 0) * total) for r in rows}
+    floor = {(r.dataset_name, r.categorical_emotion): r.min_rows or 0 for r in rows}
     counts = signatures(samples).groupBy("dataset_name", "categorical_emotion").count()
     have = {(r[0], r[1]): r[2] for r in counts.collect()}  # one row per signature of the fixed vocabularies
-    drawn = allocate(have, {k: t for k, (t, _) in wanted.items()}, {k: m for k, (_, m) in wanted.items()}, total, seed)
-    return [(*k, t, m, have.get(k, 0), drawn[k]) for k, (t, m) in wanted.items()]
+    drawn = allocate(have, target, floor, total, seed)
+    short = unmet(drawn, have, target, floor, total)
+    return [(*k, target[k], floor[k], have.get(k, 0), drawn[k], *short.get(k, (0, None))) for k in target]
 
 
-PLAN = "dataset_name string, categorical_emotion string, target_rows long, min_rows long, available long, drawn long"
+PLAN = "dataset_name string, categorical_emotion string, target_rows long, min_rows long, available long, drawn long, short long, cause string"
 
 
 def report(samples: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
-    """The plan as a table, with ``missing``: rows that the target or floor asks for and the corpus lacks."""
-    df = samples.sparkSession.createDataFrame(plan(samples, targets, seed), PLAN)
-    return df.withColumn("missing", F.greatest(F.greatest("target_rows", "min_rows") - F.col("available"), F.lit(0)))
+    """The plan as a table: ``short`` rows are missing from the sample of what target or floor ask for, by ``cause``."""
+    return samples.sparkSession.createDataFrame(plan(samples, targets, seed), PLAN)
 
 
 def draw(samples: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:

@@ -1,11 +1,14 @@
 """Problem 5: splits that keep related records together.
 
-Records that share an entity key are related, and relation is transitive. Entities are
-nodes; records that hold several keys link them. Components come from the frontier
-search of :func:`timbrel.llm.graph.frontier_components`; with one kind of key there are no
-links and each entity is its own component. Components go to splits by hash order: the
-few that hold a noticeable share of all rows are placed one by one where most is
-missing, the others by where their hash falls in a histogram cut at the targets.
+Records that share an entity are related, and relation is transitive. Entities are the
+nodes of a graph: a speaker as a corpus spells it, the speaker meant, and on request the audio
+file. A record that holds several entities links them, so each distinct link is one edge
+however many records stand behind it, and a record belongs to the component of its first
+entity. Components come from the frontier search of
+:func:`timbrel.llm.graph.frontier_components`. Those that hold records of several present
+splits are torn. Components go to new splits by hash order: the few that hold a noticeable
+share of all rows are placed one by one where most is missing, the others by where their
+hash falls in a histogram cut at the targets.
 
 Defined cases: an id counts once; a record without any entity key is a component of its
 own; a record without a known present split counts nowhere; a null share counts as 0;
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from timbrel.llm import fields
 from timbrel.llm.graph import frontier_components
 from timbrel.llm.overlaps import file_key
+from timbrel.operators.skew import hot_join
 from timbrel.session import written
 
 SEED = 7
@@ -36,37 +40,51 @@ def _entity(kind: str, *cols: Column) -> Column:
 
 
 def records(samples: DataFrame) -> DataFrame:
-    """``(sample_id, dataset_name, speaker_id, present, speaker, file)``; the last two are entity keys."""
+    """``(sample_id, dataset_name, speaker_id, present, spelling, speaker, file)``; the last three are entity keys."""
     corpus, speaker = fields.corpus(), fields.speaker()
     s = samples.select(
         F.col("sample_id").cast("long").alias("sample_id"), corpus.alias("dataset_name"), speaker.alias("speaker_id"), fields.split().alias("present"),
-        _entity("speaker", corpus, speaker).alias("speaker"), _entity("file", corpus, file_key()).alias("file"),
+        F.when(speaker.isNotNull(), _entity("spelling", F.col("dataset_name"), F.col("speaker_id"))).alias("spelling"), _entity("speaker", corpus, speaker).alias("speaker"), _entity("file", corpus, file_key()).alias("file"),
     )
     return s.where("sample_id is not null and present is not null").distinct()
 
 
+def _linked(rec: DataFrame, keys: list[str]) -> DataFrame:
+    """``(node, component)`` of the entities ``keys`` of records, linked by the records that hold two of them."""
+    first = F.coalesce(*keys)
+    links = reduce(DataFrame.union, (rec.where(f"{k} is not null").select(first.alias("src"), F.col(k).alias("dst")) for k in keys)).where("src <> dst")
+    return frontier_components(links.distinct())
+
+
 def components(rec: DataFrame, keys: list[str]) -> DataFrame:
-    """``rec`` with its ``component``: the component of its entities, or of the record alone if it has none."""
-    rec = rec.withColumn("entity", F.coalesce(*keys))
-    first = F.coalesce(F.col("entity"), F.xxhash64(F.lit("record"), "sample_id"))
-    if len(keys) == 1:
-        return rec.withColumn("component", first)
-    links = reduce(DataFrame.union, (rec.where(f"{k} is not null and {k} <> entity").select(F.col("entity").alias("src"), F.col(k).alias("dst")) for k in keys)).distinct()
-    found = frontier_components(links).withColumnRenamed("node", "entity").withColumnRenamed("component", "merged")
-    return rec.join(found, "entity", "left").withColumn("component", F.coalesce("merged", first)).drop("merged")
+    """``rec`` with its ``component``: the component of its entities, or of the record alone if it has none.
+
+    ``rec`` is read several times, so it should be a stored table.
+    """
+    alone = rec.where(reduce(lambda a, b: a & b, (F.col(k).isNull() for k in keys))).withColumn("component", F.xxhash64(F.lit("record"), "sample_id"))
+    held = rec.withColumn("entity", F.coalesce(*keys)).where("entity is not null")
+    size = held.groupBy("entity").agg(F.count("*").alias("rows"))
+    found = size.join(_linked(rec, keys).withColumnRenamed("node", "entity"), "entity", "left").select("entity", F.coalesce("component", "entity").alias("component"), "rows")
+    return hot_join(held, written(found, "entities"), ["entity"]).drop("entity", "rows").unionByName(alone)
 
 
 def torn_speakers(samples: DataFrame) -> DataFrame:
     """``(dataset_name, speaker_id, splits)`` of speakers that the present splits tear apart.
 
-    Records are pre-aggregated to one node for each speaker and present split, linked to
-    the speaker; a component with nodes of several splits is torn.
+    Records are pre-aggregated to one node for all of a spelling and present split, which
+    holds its spelling, which means its speaker. Nodes are named in full, not hashed, so a
+    component is one speaker; it is torn if it holds several splits.
     """
-    own = records(samples).where("speaker is not null").groupBy("dataset_name", "speaker_id", "speaker", "present").agg(F.count("*").alias("n_records"))
-    own = written(own.withColumn("node", F.xxhash64(F.lit("group"), "speaker", "present")), "groups")
-    found = frontier_components(own.select("node", "speaker"), "node", "speaker")
-    torn = own.join(found, "node").groupBy("component", "dataset_name", "speaker_id").agg(F.array_sort(F.collect_set("present")).alias("splits"))  # at most one entry a split
-    return torn.where("size(splits) > 1").drop("component")
+    corpus, speaker, present = fields.corpus(), fields.speaker(), fields.split()
+    named = lambda kind, a, b: F.concat(F.lit(kind), F.length(a).cast("string"), F.lit(":"), a, b)
+    own = samples.where(F.col("sample_id").isNotNull()).select(
+        corpus.alias("dataset_name"), speaker.alias("speaker_id"), present.alias("present"), named("spelling ", F.col("dataset_name"), F.col("speaker_id")).alias("spelling"), named("speaker ", corpus, speaker).alias("speaker")
+    )
+    own = own.where("speaker is not null and present is not null").groupBy(*own.columns).agg(F.count("*").alias("n_records"))
+    own = written(own.withColumn("held", F.concat("present", F.lit(" of "), "spelling")), "held")
+    found = frontier_components(own.select(F.col("held").alias("src"), F.col("spelling").alias("dst")).union(own.select("spelling", "speaker").distinct()))
+    torn = own.join(found, F.col("held") == F.col("node")).groupBy("component").agg(F.max(F.struct("dataset_name", "speaker_id")).alias("name"), F.array_sort(F.collect_set("present")).alias("splits"))  # at most one entry a split
+    return torn.where("size(splits) > 1").select("name.dataset_name", "name.speaker_id", "splits")
 
 
 def _targets(targets: DataFrame) -> list[tuple[str, float]]:
@@ -77,7 +95,9 @@ def _targets(targets: DataFrame) -> list[tuple[str, float]]:
 def assign(samples: DataFrame, targets: DataFrame, keys: list[str] | None = None, seed: int = SEED) -> DataFrame:
     """``(sample_id, component, new_split)`` of every record with a known present split."""
     spark = samples.sparkSession
-    rec = written(components(records(samples), keys or ["speaker"]).select("sample_id", "component"), "components")
+    keys = keys or ["spelling", "speaker"]
+    rec = written(records(samples).select("sample_id", *keys), "records")
+    rec = written(components(rec, keys).select("sample_id", "component"), "components")
     size = written(rec.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     total = size.agg(F.sum("n")).first()[0] or 0
     goal = dict(_targets(targets))

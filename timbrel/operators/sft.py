@@ -20,27 +20,36 @@ def examples(df: DataFrame, audio_dir: str | None = None) -> DataFrame:
     )
 
 
-def with_split(df: DataFrame, key: str, ratio: float, seed: int, buckets: int = 4096) -> DataFrame:
+#: Rows among which the last place of a split is found by sorting them.
+MAX_SORTED = 100_000
+
+
+def with_split(df: DataFrame, key: str, ratio: float, seed: int, max_sorted: int = MAX_SORTED) -> DataFrame:
     """Adds ``is_val``: exactly ``floor(n * ratio)`` rows, the lowest by seeded hash of ``key``; none of 10 rows or fewer.
 
-    The cut-off comes from a histogram of hashes, so no task sorts the whole table.
+    The cut-off comes from histograms of the hash, twelve bits at a time, until few rows are left in
+    doubt; only these are sorted. Rows of one key share a hash, so more of them than that are sorted too.
     """
     n = df.count()
     take = int(n * ratio) if ratio > 0 and n > 10 else 0
     if not take:
         return df.withColumn("is_val", F.lit(False))
     h = F.xxhash64(F.lit(seed), key)
-    bucket = F.pmod(F.shiftright(h, 40), F.lit(buckets)).cast("int")
-    counts = df.groupBy(bucket.alias("b")).count().orderBy("b").collect()  # at most ``buckets`` rows
-    upto, edge, open_ = 0, counts[-1].b, 0
-    for r in counts:
-        if upto + r["count"] >= take:
-            edge, open_ = r.b, take - upto
+    digit = lambda level: F.shiftrightunsigned(h, 52 - 12 * level).bitwiseAND(F.lit(4095)).cast("int")
+    level, rest, below, open_ = 0, F.lit(True), F.lit(False), take
+    while True:
+        counts = df.where(rest).groupBy(digit(level).alias("d")).count().orderBy("d").collect()  # at most 4096 rows
+        upto = 0
+        for r in counts:
+            if upto + r["count"] >= open_:
+                break
+            upto += r["count"]
+        below, rest, open_ = below | rest & (digit(level) < r.d), rest & (digit(level) == r.d), open_ - upto
+        level += 1
+        if r["count"] <= max_sorted or level == 5:
             break
-        upto += r["count"]
-    ranked = df.where(bucket == edge).selectExpr("*", f"row_number() over (order by xxhash64({seed}, {key}), {key}) as _r")
-    rest = df.where((bucket != edge) | F.col(key).isNull()).withColumn("is_val", F.coalesce(bucket < edge, F.lit(False)))
-    return rest.unionByName(ranked.withColumn("is_val", F.col("_r") <= open_).drop("_r"))
+    ranked = df.where(rest).selectExpr("*", f"row_number() over (order by xxhash64({seed}, {key}), {key}) as _r")
+    return df.where(~rest).withColumn("is_val", below).unionByName(ranked.withColumn("is_val", F.col("_r") <= open_).drop("_r"))
 
 
 def summary(df: DataFrame) -> DataFrame:
@@ -50,3 +59,22 @@ def summary(df: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(F.size("audios") > 0).alias("with_audio"), F.count_if(F.lower(ask).contains("context")).alias("with_context"),
         F.round(F.avg(answer), 6).alias("mean_length"), F.max(answer).cast("long").alias("max_length"), F.min(answer).cast("long").alias("min_length"),
     )
+
+
+def label_mask(df: DataFrame, prompt_ids: str, answer_ids: str, batch: str, max_length: int, pad_id: int = 0, ignore: int = -100) -> DataFrame:
+    """Adds ``input_ids``, ``attention_mask`` and ``labels`` of token id arrays, padded at the end to the longest row of a ``batch``.
+
+    Labels of the prompt and of padding are ``ignore``, those of the answer its ids. Rows are cut at
+    ``max_length``. Null arrays are empty.
+    """
+    none = F.array().cast("array<int>")
+    prompt, answer = F.coalesce(F.col(prompt_ids).cast("array<int>"), none), F.coalesce(F.col(answer_ids).cast("array<int>"), none)
+    whole = df.withColumns({
+        "_ids": F.slice(F.concat(prompt, answer), 1, max_length), "_labels": F.slice(F.concat(F.transform(prompt, lambda _: F.lit(ignore)), answer), 1, max_length),
+    }).withColumn("_n", F.size("_ids"))
+    longest = whole.groupBy(batch).agg(F.max("_n").alias("_longest"))
+    padded = whole.join(longest, whole[batch].eqNullSafe(longest[batch]), "left").drop(longest[batch])
+    fill = lambda x, v: F.concat(x, F.array_repeat(F.lit(v), F.col("_longest") - F.col("_n")))
+    return padded.withColumns({
+        "input_ids": fill(F.col("_ids"), pad_id), "attention_mask": fill(F.transform("_ids", lambda _: F.lit(1)), 0), "labels": fill(F.col("_labels"), ignore)
+    }).drop("_ids", "_labels", "_n", "_longest")

@@ -32,6 +32,28 @@ def test_a_steady_tone_has_little_jitter_and_noise_has_no_pitch():
     assert (f0 > 0).mean() < 0.2
 
 
+def test_resampling_keeps_what_fits_and_drops_what_would_fold_back():
+    t = np.arange(44_100) / 44_100
+    for f, left in ((440, 1.0), (3000, 1.0), (12_000, 0.0), (20_000, 0.0)):
+        y = S.resample(np.sin(2 * np.pi * f * t), 44_100, 16_000)
+        assert len(y) == 16_000
+        middle = y[2000:-2000]
+        assert abs(np.sqrt(2 * (middle**2).mean()) - left) < 0.01
+        if left:
+            assert np.abs(middle - np.sin(2 * np.pi * f * np.arange(16_000) / 16_000)[2000:-2000]).max() < 0.01
+    up = S.resample(np.sin(2 * np.pi * 440 * np.arange(8000) / 8000), 8000, 16_000)
+    assert np.abs(up - np.sin(2 * np.pi * 440 * np.arange(16_000) / 16_000))[1000:-1000].max() < 0.01
+    assert S.resample(np.ones(100), 11_000, 16_000)[50] == pytest.approx(1) and len(S.resample(np.zeros(0), 8000, 16_000)) == 0
+
+
+def test_perturbation_leaves_out_jumps():
+    x = np.array([1.0, 1.1, 1.0, 2.0, 1.0, 1.1])
+    assert S.perturbation(x, x > 0, 1.3) == pytest.approx(100 * 0.1 / np.mean([1.0, 1.1, 1.0, 1.0, 1.1]))
+    assert np.isnan(S.perturbation(x[2:4], x[2:4] > 0, 1.3)) and np.isnan(S.perturbation(np.zeros(0), np.zeros(0, bool), 1.3))
+    v = S.voice_quality(np.zeros(S.RATE), np.zeros(101), np.zeros(101), "keep")
+    assert np.isnan(v["jitter"]) and np.isnan(v["shimmer"])
+
+
 def test_pauses_are_measured():
     y = tone(150)
     y[int(0.8 * S.RATE) : int(1.2 * S.RATE)] = 0

@@ -14,6 +14,7 @@ decoded gives a null row with the reason; undefined jitter or shimmer is 0 with
 from __future__ import annotations
 
 import io
+import math
 import wave
 from collections.abc import Iterator
 
@@ -29,8 +30,33 @@ PITCH = (75.0, 500.0)
 SILENCE_DB, MIN_PAUSE, MIN_SEGMENT = -40.0, 0.15, 0.03
 
 
+def resample(y: np.ndarray, own: int, rate: int) -> np.ndarray:
+    """``y`` from ``own`` to ``rate`` samples a second, by a windowed sinc that passes nothing above half of the lower rate.
+
+    The time of an output sample between input samples takes few values, so the filter is a table
+    with one row for each.
+    """
+    if own == rate or not len(y):
+        return y
+    g = math.gcd(own, rate)
+    up, down = rate // g, own // g
+    pass_ = 0.94 * min(1.0, rate / own)
+    half = int(np.ceil(32 / pass_))
+    taps = np.arange(-half + 1, half + 1)
+    x = taps - (np.arange(up) * down % up / up)[:, None]
+    table = np.sinc(pass_ * x) * (0.5 + 0.5 * np.cos(np.pi * np.clip(x / half, -1, 1)))
+    table /= table.sum(axis=1, keepdims=True)
+    padded = np.pad(y, half)
+    n = int(len(y) * rate / own)
+    out = np.empty(n)
+    for i in range(0, n, 16_384):
+        k = np.arange(i, min(n, i + 16_384))
+        out[k] = (padded[(k * down // up)[:, None] + taps + half] * table[k % up]).sum(axis=1)
+    return out
+
+
 def decode(data: bytes, rate: int = RATE) -> np.ndarray:
-    """Mono samples from -1 to 1 of a PCM wave file, brought to ``rate`` by linear interpolation."""
+    """Mono samples from -1 to 1 of a PCM wave file, brought to ``rate``."""
     with wave.open(io.BytesIO(data)) as w:
         width, channels, own = w.getsampwidth(), w.getnchannels(), w.getframerate()
         raw = w.readframes(w.getnframes())
@@ -41,10 +67,7 @@ def decode(data: bytes, rate: int = RATE) -> np.ndarray:
         y = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 2**23
     else:
         y = np.frombuffer(raw, {2: np.int16, 4: np.int32}[width]).astype(float) / 2 ** (8 * width - 1)
-    y = y.reshape(-1, channels).mean(axis=1)
-    if own != rate and len(y):
-        y = np.interp(np.arange(int(len(y) * rate / own)) / rate, np.arange(len(y)) / own, y)
-    return y
+    return resample(y.reshape(-1, channels).mean(axis=1), own, rate)
 
 
 def frames(y: np.ndarray, size: int = FRAME, hop: int = HOP) -> np.ndarray:
@@ -129,12 +152,29 @@ def periods(y: np.ndarray, f0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cat(lengths), cat(heights)
 
 
+#: Least and greatest period in seconds, and the greatest ratios of successive periods and heights that count.
+PERIODS, PERIOD_FACTOR, HEIGHT_FACTOR = (0.0001, 0.02), 1.3, 1.6
+
+
+def perturbation(x: np.ndarray, counts: np.ndarray, factor: float) -> float:
+    """Mean step between successive values, in percent of their mean; steps count between two values that count and differ at most by ``factor``. NaN if none does."""
+    a, b = x[:-1], x[1:]
+    fine = counts[:-1] & counts[1:] & (np.maximum(a, b) <= factor * np.minimum(a, b))
+    if not fine.any():
+        return float("nan")
+    held = np.zeros(len(x), bool)
+    held[:-1] |= fine
+    held[1:] |= fine
+    return float(np.abs(b - a)[fine].mean() / x[held].mean() * 100)
+
+
 def voice_quality(y: np.ndarray, f0: np.ndarray, peak: np.ndarray, nan_policy: str = "zero") -> dict[str, float]:
     """Jitter and shimmer in percent, harmonics-to-noise ratio and spectral tilt."""
     t, h = periods(y, f0)
     none = 0.0 if nan_policy == "zero" else float("nan")
-    jitter = float(np.abs(np.diff(t)).mean() / t.mean() * 100) if len(t) > 1 else none
-    shimmer = float(np.abs(np.diff(h)).mean() / np.abs(h).mean() * 100) if len(h) > 1 and np.abs(h).mean() > 0 else none
+    counts = (t >= PERIODS[0]) & (t <= PERIODS[1])
+    jitter, shimmer = perturbation(t, counts, PERIOD_FACTOR), perturbation(h, h > 0, HEIGHT_FACTOR)
+    jitter, shimmer = (none if math.isnan(x) else x for x in (jitter, shimmer))
     r = np.clip(peak[f0 > 0], 1e-6, 0.999999)
     hnr = float((10 * np.log10(r / (1 - r))).mean()) if len(r) else 0.0
     return {"jitter": jitter, "shimmer": shimmer, "hnr": hnr, "spectral_tilt": spectral_tilt(y)}
@@ -182,7 +222,7 @@ def formants(y: np.ndarray) -> tuple[list[float], list[float]]:
     rate = 11_000
     if len(y) < FRAME:
         return [], []
-    z = np.interp(np.arange(int(len(y) * rate / RATE)) / rate, np.arange(len(y)) / RATE, y)
+    z = resample(y, RATE, rate)
     z = np.append(z[0], z[1:] - 0.98 * z[:-1])
     f1, f2 = [], []
     size = int(0.05 * rate)

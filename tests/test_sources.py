@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from timbrel.operators import sft
+from timbrel.operators import samples, sft
 from timbrel.sources import corpora, jsonl
 from timbrel.streaming import scoring as streaming
 
@@ -117,9 +117,30 @@ def test_training_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 9 and spark.read.json(str(tmp_path / "val_out")).count() == 3
     flat = jsonl.flat(ex).where("utterance_id = 'u0'").first()
     assert flat.output == "out 0" and flat.audio_path is None
-    jsonl.append_checkpoint(df.limit(2), str(tmp_path / "ck"))
-    jsonl.append_checkpoint(df.limit(1), str(tmp_path / "ck"))
-    assert spark.read.json(str(tmp_path / "ck")).count() == 3
+
+
+def test_checkpoint_counts_each_batch_and_row_once(spark, tmp_path):
+    path, kind = str(tmp_path / "ck"), "utterance_id string, n int"
+    rows = lambda *ids: spark.createDataFrame([(i, 1) for i in ids], kind)
+    assert jsonl.read_checkpoint(spark, path, kind)[1] == {"processed": 0, "failed": 0, "n_samples": 0}
+    jsonl.append_checkpoint(rows("a", "b", "b"), path, "0", 3, 1)
+    jsonl.append_checkpoint(rows("b", "c"), path, "1", 2)
+    jsonl.append_checkpoint(rows("c", "d"), path, "1", 2)  # already there
+    rows("x").write.json(f"{path}/rows/batch=2")  # broke off before its meta row
+    done, meta = jsonl.read_checkpoint(spark, path, kind)
+    assert sorted(r.utterance_id for r in done.collect()) == ["a", "b", "c"] and meta == {"processed": 5, "failed": 1, "n_samples": 3}
+    jsonl.append_checkpoint(rows("y"), path, "2", 1)
+    done, _ = jsonl.read_checkpoint(spark, path, kind)
+    assert done.count() == 4
+    work = samples.open_work(rows("e", "a", "d", "c", "f"), done, 6, ["utterance_id"])
+    assert [r.utterance_id for r in work.collect()] == ["d", "e"] and samples.open_work(rows("e"), done, 3, ["utterance_id"]).count() == 0
+
+
+def test_label_mask(spark):
+    df = spark.createDataFrame([(1, 0, [5, 6], [7]), (2, 0, [5], [7, 8, 9, 10]), (3, 1, None, [1]), (4, 1, [2], None)], "id int, b int, p array<int>, a array<int>")
+    got = {r.id: r for r in sft.label_mask(df, "p", "a", "b", 4).collect()}
+    assert (got[1].input_ids, got[1].attention_mask, got[1].labels) == ([5, 6, 7, 0], [1, 1, 1, 0], [-100, -100, 7, -100])
+    assert (got[2].input_ids, got[2].labels) == ([5, 7, 8, 9], [-100, 7, 8, 9]) and got[3].labels == [1] and got[4].labels == [-100]
 
 
 def test_streaming_scores(spark, tmp_path):

@@ -20,6 +20,38 @@ def clamp(c, low: float = rubric.LOW, high: float = rubric.HIGH) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
+def outer(c) -> Column:
+    """Without outer white space of any kind, Unicode's included."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def corpus_name(c="dataset_name") -> Column:
+    """The corpus a name means, whatever its case and separators; null for an unknown one."""
+    return lookup(F.regexp_replace(F.lower(c), r"(?U)[\s_-]+", ""), taxonomy.CORPORA)
+
+
+def split_name(c="split") -> Column:
+    """``train``, ``val`` or ``test``; null for any other value."""
+    return lookup(F.lower(outer(c)), taxonomy.SPLITS)
+
+
+def category(c="categorical_emotion") -> Column:
+    """The category a label means; null for one outside of the vocabulary."""
+    v = F.lower(outer(c))
+    return F.when(v.isin(list(taxonomy.EMOTIONS)), v)
+
+
+def speaker_name(c="speaker_id") -> Column:
+    """A speaker in lower case; null where the speaker is not known."""
+    v = F.lower(outer(c))
+    return F.when(~v.isin(taxonomy.NO_SPEAKER), v)
+
+
+def person_name(c="annotator_id") -> Column:
+    """An annotator in upper case; null where nobody is named."""
+    return F.nullif(F.upper(outer(c)), F.lit(""))
+
+
 def number(c) -> Column:
     """The double that a stripped text spells in plain or exponent notation, else null."""
     s = strip(c)

@@ -30,18 +30,26 @@ def mock(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(response=out)
 
 
-def with_retry(one: Callable[[str], str], tries: int = 3, delay: float = 1.0, sleep: Callable[[float], None] | None = None) -> Generator:
-    """A generator out of a single call: failures are retried after ``delay * 2 ** i``, then give an empty text."""
+def with_retry(one: Callable[[str], str], tries: int = 3, delay: float = 1.0, sleep: Callable[[float], None] | None = None, interval: float = 0.0, clock: Callable[[], float] | None = None) -> Generator:
+    """A generator out of a single call: failures are retried after ``delay * 2 ** i``, then give an empty text.
+
+    Calls of one task start at least ``interval`` seconds apart, so a job makes at most its number of tasks
+    at a time divided by ``interval`` calls a second.
+    """
     import time
 
-    pause = sleep or time.sleep
+    pause, now = sleep or time.sleep, clock or time.monotonic
 
     def run(batches):
+        free = None  # when the next call may start
         for pdf in batches:
             out = []
             for prompt in pdf["prompt"]:
                 text = ""
                 for i in range(tries):
+                    if free is not None and free > now():
+                        pause(free - now())
+                    free = now() + interval
                     try:
                         text = one(prompt)
                         break

@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timbrel.functions.columns import category, corpus_name, speaker_name, split_name
+
+
+def canonical(df: DataFrame) -> DataFrame:
+    """``df`` with the label columns that it has as they are meant: corpus, split, category and speaker."""
+    read = {"dataset_name": corpus_name, "split": split_name, "categorical_emotion": category, "speaker_id": speaker_name}
+    return df.withColumns({n: f(n) for n, f in read.items() if n in df.columns})
+
 
 def by_emotion(df: DataFrame, emotions: list[str], col: str = "categorical_emotion") -> DataFrame:
     return df.where(F.col(col).isin(emotions))
@@ -35,6 +43,12 @@ def remaining(df: DataFrame, done: DataFrame, key: str = "utterance_id") -> Data
     return df.join(done.select(key).distinct(), key, "left_anti")
 
 
+def open_work(df: DataFrame, done: DataFrame, target: int, order: list[str], key: str = "utterance_id") -> DataFrame:
+    """The first remaining rows in corpus order, as many as ``target`` results still lack."""
+    lacking = target - done.select(key).distinct().count()
+    return remaining(df, done, key).orderBy(*order).limit(max(lacking, 0))
+
+
 def emotion_distribution(df: DataFrame, col: str = "categorical_emotion") -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("emotion")).agg(F.count("*").alias("n"))
 

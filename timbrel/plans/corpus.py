@@ -8,19 +8,20 @@ from timbrel.functions import columns as C
 from timbrel.operators import frames, pairs, samples, sft
 from timbrel.session import table
 from timbrel.sources import corpora
-from timbrel.taxonomy import EMOTIONS, INTENSITIES, LABELS, PARTITION_SPLITS, STATEMENTS
+from timbrel.taxonomy import CORPORA, EMOTIONS, INTENSITIES, LABELS, NO_SPEAKER, PARTITION_SPLITS, SPLITS, STATEMENTS
 
 _SAMPLES = "emotion_samples"
 
 
 def _s(spark, sf_dir):
-    return table(spark, sf_dir, _SAMPLES)
+    """Samples with their labels as they are meant."""
+    return samples.canonical(table(spark, sf_dir, _SAMPLES))
 
 
 def label_map(spark, sf_dir):
     s = _s(spark, sf_dir)
-    dataset = F.lower(F.trim("dataset_name"))
-    return s.groupBy(dataset.alias("dataset"), F.col("emotion_raw_label").alias("raw"), C.canonical_label(dataset, F.col("emotion_raw_label")).alias("canonical")).agg(F.count("*").alias("n"))
+    dataset, raw = F.col("dataset_name"), F.col("emotion_raw_label")
+    return s.groupBy(dataset.alias("dataset"), raw.alias("raw"), C.canonical_label(dataset, raw).alias("canonical")).agg(F.count("*").alias("n"))
 
 
 def emotion_distribution(spark, sf_dir):
@@ -40,7 +41,7 @@ def filter_by_emotion(spark, sf_dir):
 
 
 def filter_by_speaker(spark, sf_dir):
-    return samples.by_speaker(_s(spark, sf_dir), "Actor_00001").select("sample_id", "utterance_id", "speaker_id")
+    return samples.by_speaker(_s(spark, sf_dir), "actor_00001").select("sample_id", "utterance_id", "speaker_id")
 
 
 def duration_band(spark, sf_dir):
@@ -63,26 +64,24 @@ def resume_remaining(spark, sf_dir):
 
 def union_corpora(spark, sf_dir):
     s = _s(spark, sf_dir).select("sample_id", "dataset_name", "categorical_emotion")
-    parts = [s.where(F.lower("dataset_name") == d) for d in ("ravdess", "iemocap", "msp_podcast", "meld")]
+    parts = [s.where(F.col("dataset_name") == d) for d in ("ravdess", "iemocap", "msp_podcast", "meld")]
     return samples.union_corpora(*parts).groupBy("part", "dataset_name").agg(F.count("*").alias("n"), F.count("categorical_emotion").alias("with_emotion"))
 
 
 def vad_rescale(spark, sf_dir):
-    a = table(spark, sf_dir, "vad_annotations")
+    a = samples.canonical(table(spark, sf_dir, "vad_annotations"))
     fit = lambda c: F.when(F.col("dataset_name") == "msp_podcast", C.rescale(F.col(c), 7.0)).otherwise(C.rescale(F.col(c), 5.0))
     return a.select("utterance_id", "annotator_id", *(F.round(F.nanvl(fit(c), F.lit(None)), 6).alias(c) for c in ("valence", "arousal", "dominance")))
 
 
 def mean_vad(spark, sf_dir):
     a = table(spark, sf_dir, "vad_annotations").where(F.col("valence").isNotNull() & ~F.isnan("valence"))
-    per = a.groupBy("utterance_id").agg(F.collect_list(F.struct("valence", "arousal")).alias("vads"))
-    mean = C.mean_of(F.col("vads"), "valence")
-    return per.select("utterance_id", F.round(mean, 6).alias("valence"), F.size("vads").cast("long").alias("n_annotators"))
+    return a.groupBy("utterance_id").agg(F.round(F.avg("valence"), 6).alias("valence"), F.count("*").alias("n_annotators"))
 
 
 def min_annotators(spark, sf_dir):
     a = table(spark, sf_dir, "vad_annotations")
-    return a.groupBy("utterance_id").agg(F.count_distinct("annotator_id").alias("n_annotators")).where("n_annotators >= 3")
+    return a.groupBy("utterance_id").agg(F.count_distinct(C.person_name()).alias("n_annotators")).where("n_annotators >= 3")
 
 
 def safe_float_default(spark, sf_dir):
@@ -140,7 +139,7 @@ def one_dialogue(spark, sf_dir):
 
 
 def _acted(spark, sf_dir):
-    s = _s(spark, sf_dir).where(F.lower("dataset_name") == "ravdess").select("sample_id", "utterance_id").distinct()
+    s = _s(spark, sf_dir).where("dataset_name = 'ravdess'").select("sample_id", "utterance_id").distinct()
     return corpora.parse_coded_names(s.withColumn("stem", F.col("utterance_id"))).withColumn("ordinal", F.col("sample_id"))
 
 
@@ -164,14 +163,29 @@ def partition_lines(spark, sf_dir):
 
 def consensus_ratings(spark, sf_dir):
     """Partition lines of the podcast corpus with their label and the mean ratings, on 1 to 5, of at least three annotators."""
-    podcast = F.regexp_replace(F.lower("dataset_name"), "[ _-]", "") == "msppodcast"
+    podcast = F.col("dataset_name") == "msp_podcast"
     part = partition_lines(spark, sf_dir).withColumn("utterance_id", F.regexp_replace("utterance_id", r"\.wav", ""))
     s = _s(spark, sf_dir).where(podcast).groupBy("utterance_id").agg(F.min("emotion_raw_label").alias("emotion_raw_label"))
-    rated = corpora.rated_labels(table(spark, sf_dir, "vad_annotations").where(podcast), ["labelled_at", "loaded_at"]).where("n_annotators >= 3")
+    rated = _rated(spark, sf_dir).where("n_annotators >= 3")
     means = (F.round(n, 6).alias(n) for n in ("valence", "arousal", "dominance"))
     return part.join(rated, "utterance_id").join(s, "utterance_id").select("utterance_id", "partition", "emotion_raw_label", *means, "n_annotators")
 
 
+def _rated(spark, sf_dir):
+    """Mean ratings of the podcast corpus."""
+    return corpora.rated_labels(samples.canonical(table(spark, sf_dir, "vad_annotations")).where("dataset_name = 'msp_podcast'"), ["labelled_at", "loaded_at"])
+
+
+def podcast_join(spark, sf_dir):
+    """Records of the podcast corpus in the sample table stand for its partition file: joined with labels of at least three annotators, per split."""
+    s = table(spark, sf_dir, _SAMPLES).where(C.corpus_name() == "msp_podcast")
+    partitions = s.groupBy("utterance_id").agg(F.max(F.initcap(C.outer("split"))).alias("partition"))
+    labels = _rated(spark, sf_dir).join(s.groupBy("utterance_id").agg(F.min("emotion_raw_label").alias("emotion_raw_label")), "utterance_id")
+    parts = [corpora.podcast_samples(partitions, labels, None, split, normalize=False).withColumn("split", F.lit(split)) for split in PARTITION_SPLITS]
+    own = F.col("vad_annotations")[0]
+    return samples.union_corpora(*parts).select("utterance_id", "split", "partition", "categorical_emotion", F.round(own["valence"], 6).alias("valence"), F.round(own["arousal"], 6).alias("arousal"), "n_annotators")
+
+
 def consensus_join(spark, sf_dir):
     """Partition lines joined with mean ratings of enough annotators, counted per partition and label."""
     return consensus_ratings(spark, sf_dir).groupBy("partition", "emotion_raw_label").agg(F.count("*").alias("n"))
@@ -200,7 +214,7 @@ def transcript_join(spark, sf_dir):
 
 def missing_labels(spark, sf_dir):
     """Canonical labels that a corpus never uses."""
-    s = _s(spark, sf_dir).groupBy(F.lower("dataset_name").alias("dataset")).agg(F.collect_set("categorical_emotion").alias("held"))
+    s = _s(spark, sf_dir).groupBy(F.col("dataset_name").alias("dataset")).agg(F.collect_set("categorical_emotion").alias("held"))
     return s.select("dataset", F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, EMOTIONS)), "held")), ",").alias("missing"))
 
 
@@ -221,7 +235,7 @@ def sft_summary(spark, sf_dir):
 _F = (
     label_map, emotion_distribution, distinct_speakers, dataset_summary, filter_by_emotion, filter_by_speaker, duration_band, cap_first_n, row_at_index, resume_remaining,
     union_corpora, vad_rescale, mean_vad, min_annotators, safe_float_default, emotion_filter_default, context_window, context_last_n, turn_numbering, filter_after_context,
-    dialogue_stats, multi_party, dialogue_ids, one_dialogue, coded_names, controlled_pairs, intensity_pairs, partition_lines, consensus_ratings, consensus_join, annotator_list, podcast_splits,
+    dialogue_stats, multi_party, dialogue_ids, one_dialogue, coded_names, controlled_pairs, intensity_pairs, partition_lines, consensus_ratings, podcast_join, consensus_join, annotator_list, podcast_splits,
     transcript_join, missing_labels, sft_split, sft_split_sizes, sft_summary,
 )
 QUERIES = {f.__name__: f for f in _F}
@@ -232,12 +246,27 @@ def _values(rows) -> str:
     return "(values " + ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows) + ")"
 
 
+def _outer(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _case(x: str, of: dict[str, str]) -> str:
+    return f"case {x} " + " ".join(f"when '{k}' then '{v}'" for k, v in of.items()) + " end"
+
+
+_CORPUS = _case(r"lower(regexp_replace(dataset_name, '[\s_-]+', '', 'g'))", CORPORA)
+_SPLIT = _case(f"lower({_outer('split')})", SPLITS)
+_CATEGORY = _case(f"lower({_outer('categorical_emotion')})", {x: x for x in EMOTIONS})
+_SPEAKER = f"case when lower({_outer('speaker_id')}) not in ({', '.join(map(repr, NO_SPEAKER))}) then lower({_outer('speaker_id')}) end"
+#: The tables with their labels as they are meant.
+ES = f"(select * replace ({_CORPUS} as dataset_name, {_SPLIT} as split, {_CATEGORY} as categorical_emotion, {_SPEAKER} as speaker_id) from emotion_samples)"
+VA = f"(select * replace ({_CORPUS} as dataset_name) from vad_annotations)"
 _LABELS = _values((d, k, v) for d, m in LABELS.items() for k, v in m.items())
 _TURNS = """with t as (select dialogue_id, utterance_id, speaker, utterance, emotion from meld_utterances where dialogue_id is not null and utterance_id is not null
   qualify row_number() over (partition by dialogue_id, utterance_id order by loaded_at, speaker nulls first, utterance nulls first, emotion nulls first) = 1)
 """
 _CONTEXT = """array_agg('[' || coalesce(speaker, '') || '] ' || coalesce(utterance, '')) over (partition by dialogue_id order by utterance_id rows between 3 preceding and 1 preceding)"""
-_ACTED = f"""with s as (select distinct sample_id, utterance_id, string_split(utterance_id, '-') as p from emotion_samples where lower(dataset_name) = 'ravdess'),
+_ACTED = f"""with s as (select distinct sample_id, utterance_id, string_split(utterance_id, '-') as p from {ES} where dataset_name = 'ravdess'),
 a as (select sample_id, utterance_id, case when p[2] = '01' then 'speech' else 'song' end as channel,
   coalesce(l.v, 'other') as categorical_emotion, p[3] as emotion_raw_label, case p[4] {' '.join(f"when '{k}' then '{v}'" for k, v in INTENSITIES.items())} else 'normal' end as emotion_intensity,
   p[4] as intensity, p[5] as statement, p[6] as repetition, try_cast(p[7] as int) as actor, case when try_cast(p[7] as int) % 2 = 1 then 'M' else 'F' end as gender,
@@ -250,24 +279,36 @@ f as (select line_id, case when contains(t, ';') then string_split(t, ';') when
 p as (select regexp_replace(f[1], '^\s+|\s+$', '', 'g') as utterance_id, regexp_replace(f[2], '^\s+|\s+$', '', 'g') as partition from f where len(f) >= 2
   qualify row_number() over (partition by regexp_replace(f[1], '^\s+|\s+$', '', 'g') order by line_id desc) = 1)
 """
+_PERSON = f"nullif(upper({_outer('annotator_id')}), '')"
+_RATED = f"""s as (select utterance_id, min(emotion_raw_label) as emotion_raw_label from (select *, {_CORPUS} as corpus from emotion_samples) where corpus = 'msp_podcast' group by 1),
+      a as (select *, {_PERSON} as person, case when dominance between 1 and 7 then dominance end as d from {VA}
+        where dataset_name = 'msp_podcast' and valence between 1 and 7 and arousal between 1 and 7 and utterance_id is not null and {_PERSON} is not null),
+      l as (select * from a qualify row_number() over (partition by utterance_id, person order by labelled_at desc nulls last, loaded_at desc nulls last, valence desc, arousal desc, d desc nulls last) = 1),
+      m as (select utterance_id, avg(valence) as v, avg(arousal) as a, avg(d) as d, count(*) as n_annotators from l group by 1 having count(*) >= 3)"""
+_JOINED = _RATED + f""", t as (select utterance_id, max(upper(left({_outer('raw_split')}, 1)) || lower(substr({_outer('raw_split')}, 2))) as partition
+        from (select *, {_CORPUS} as corpus, split as raw_split from emotion_samples) where corpus = 'msp_podcast' group by 1),
+      j as (select m.utterance_id, partition, case when partition in ('Train') then 'train' when partition in ('Validation', 'Development') then 'val' when partition in ('Test1', 'Test2', 'Test') then 'test' end as split,
+      coalesce(e.v, 'other') as categorical_emotion, round(1 + (m.v - 1) * 4 / 6, 6) as valence, round(1 + (m.a - 1) * 4 / 6, 6) as arousal, n_annotators
+      from m join s using (utterance_id) join t using (utterance_id) left join {_LABELS} e(d, k, v) on e.d = 'msp_podcast' and e.k = emotion_raw_label where partition in ('Train', 'Validation', 'Development', 'Test1', 'Test2', 'Test'))
+"""
 SQL = {
-    "label_map": f"""select lower(trim(dataset_name, ' ')) as dataset, emotion_raw_label as raw, coalesce(l.v, 'other') as canonical, count(*) as n
-      from emotion_samples left join {_LABELS} l(d, k, v) on l.d = lower(trim(dataset_name, ' ')) and l.k = emotion_raw_label group by 1, 2, 3""",
-    "emotion_distribution": "select categorical_emotion as emotion, count(*) as n from emotion_samples where categorical_emotion is not null group by 1",
-    "distinct_speakers": "select distinct speaker_id as speaker from emotion_samples where speaker_id <> ''",
-    "dataset_summary": """select dataset_name, count(*) as n_samples, count(distinct nullif(speaker_id, '')) as n_speakers, count(*) filter (transcript <> '') as with_transcript,
-      count(*) filter (len(context_turns) > 0) as with_context, count(categorical_emotion) as with_emotion from emotion_samples group by 1""",
-    "filter_by_emotion": "select sample_id, utterance_id, categorical_emotion from emotion_samples where categorical_emotion in ('happy', 'sad')",
-    "filter_by_speaker": "select sample_id, utterance_id, speaker_id from emotion_samples where speaker_id = 'Actor_00001'",
+    "label_map": f"""select dataset_name as dataset, emotion_raw_label as raw, coalesce(l.v, 'other') as canonical, count(*) as n
+      from {ES} left join {_LABELS} l(d, k, v) on l.d = dataset_name and l.k = emotion_raw_label group by 1, 2, 3""",
+    "emotion_distribution": f"select categorical_emotion as emotion, count(*) as n from {ES} where categorical_emotion is not null group by 1",
+    "distinct_speakers": f"select distinct speaker_id as speaker from {ES} where speaker_id <> ''",
+    "dataset_summary": f"""select dataset_name, count(*) as n_samples, count(distinct nullif(speaker_id, '')) as n_speakers, count(*) filter (transcript <> '') as with_transcript,
+      count(*) filter (len(context_turns) > 0) as with_context, count(categorical_emotion) as with_emotion from {ES} group by 1""",
+    "filter_by_emotion": f"select sample_id, utterance_id, categorical_emotion from {ES} where categorical_emotion in ('happy', 'sad')",
+    "filter_by_speaker": f"select sample_id, utterance_id, speaker_id from {ES} where speaker_id = 'actor_00001'",
     "duration_band": "select sample_id, duration_sec from emotion_samples where duration_sec <= 0 or duration_sec between 0.5 and 30",
     "cap_first_n": "select distinct sample_id, utterance_id from emotion_samples order by sample_id limit 100",
     "row_at_index": "select distinct sample_id, utterance_id from emotion_samples order by sample_id limit 1 offset 41",
     "resume_remaining": "select distinct sample_id, utterance_id from emotion_samples s where not exists (select 1 from cot_samples c where c.utterance_id = s.utterance_id)",
-    "union_corpora": """select case lower(dataset_name) when 'ravdess' then 0 when 'iemocap' then 1 when 'msp_podcast' then 2 else 3 end as part, dataset_name, count(*) as n, count(categorical_emotion) as with_emotion
-      from emotion_samples where lower(dataset_name) in ('ravdess', 'iemocap', 'msp_podcast', 'meld') group by 1, 2""",
-    "vad_rescale": "select utterance_id, annotator_id, " + ", ".join(f"round(case when {c}::varchar = 'nan' then null when dataset_name = 'msp_podcast' then 1 + ({c} - 1) * 4 / 6 else {c} end, 6) as {c}" for c in ("valence", "arousal", "dominance")) + " from vad_annotations",
+    "union_corpora": f"""select case dataset_name when 'ravdess' then 0 when 'iemocap' then 1 when 'msp_podcast' then 2 else 3 end as part, dataset_name, count(*) as n, count(categorical_emotion) as with_emotion
+      from {ES} where dataset_name in ('ravdess', 'iemocap', 'msp_podcast', 'meld') group by 1, 2""",
+    "vad_rescale": "select utterance_id, annotator_id, " + ", ".join(f"round(case when {c}::varchar = 'nan' then null when dataset_name = 'msp_podcast' then 1 + ({c} - 1) * 4 / 6 else {c} end, 6) as {c}" for c in ("valence", "arousal", "dominance")) + f" from {VA}",
     "mean_vad": "select utterance_id, round(avg(valence), 6) as valence, count(*) as n_annotators from vad_annotations where valence is not null and valence::varchar <> 'nan' group by 1",
-    "min_annotators": "select utterance_id, count(distinct annotator_id) as n_annotators from vad_annotations group by 1 having count(distinct annotator_id) >= 3",
+    "min_annotators": f"select utterance_id, count(distinct {_PERSON}) as n_annotators from vad_annotations group by 1 having count(distinct {_PERSON}) >= 3",
     "safe_float_default": "select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as double), 4.0) as k, coalesce(try_cast(event_type as double), 4.0) as d from events",
     "emotion_filter_default": f"""with r as (select lower(regexp_replace(coalesce(emotion, 'neutral'), '^\\s+|\\s+$', '', 'g')) as raw from meld_utterances)
       select raw, coalesce(l.v, 'other') as canonical, count(*) as n from r left join {_LABELS} l(d, k, v) on l.d = 'meld' and l.k = raw group by 1, 2""",
@@ -285,22 +326,18 @@ SQL = {
     "intensity_pairs": _ACTED + """select speaker_id, statement, repetition, arg_max(utterance_id, sample_id) filter (emotion_intensity = 'normal') as a, arg_max(utterance_id, sample_id) filter (emotion_intensity = 'strong') as b
       from a where categorical_emotion = 'angry' group by all having a is not null and b is not null""",
     "partition_lines": _PARTS + "select utterance_id, partition from p",
-    "consensus_ratings": _PARTS + """, s as (select utterance_id, min(emotion_raw_label) as emotion_raw_label from emotion_samples where regexp_replace(lower(dataset_name), '[ _-]', '', 'g') = 'msppodcast' group by 1),
-      a as (select *, upper(trim(annotator_id, ' ')) as person, case when dominance between 1 and 7 then dominance end as d from vad_annotations
-        where regexp_replace(lower(dataset_name), '[ _-]', '', 'g') = 'msppodcast' and valence between 1 and 7 and arousal between 1 and 7 and utterance_id is not null and length(upper(trim(annotator_id, ' '))) > 0),
-      l as (select * from a qualify row_number() over (partition by utterance_id, person order by labelled_at desc nulls last, loaded_at desc nulls last, valence desc, arousal desc, d desc nulls last) = 1),
-      m as (select utterance_id, avg(valence) as v, avg(arousal) as a, avg(d) as d, count(*) as n_annotators from l group by 1 having count(*) >= 3)
-      select m.utterance_id, partition, emotion_raw_label, round(1 + (v - 1) * 4 / 6, 6) as valence, round(1 + (a - 1) * 4 / 6, 6) as arousal, round(1 + (d - 1) * 4 / 6, 6) as dominance, n_annotators
+    "consensus_ratings": _PARTS + f""", {_RATED}
+      select m.utterance_id, p.partition, emotion_raw_label, round(1 + (v - 1) * 4 / 6, 6) as valence, round(1 + (a - 1) * 4 / 6, 6) as arousal, round(1 + (d - 1) * 4 / 6, 6) as dominance, n_annotators
       from p join m on m.utterance_id = replace(p.utterance_id, '.wav', '') join s on s.utterance_id = m.utterance_id""",
-    "consensus_join": _PARTS + """, s as (select utterance_id, min(emotion_raw_label) as emotion_raw_label from emotion_samples where lower(dataset_name) = 'msp_podcast' group by 1)
-      select partition, emotion_raw_label, count(*) as n from p join s on s.utterance_id = replace(p.utterance_id, '.wav', '') group by 1, 2""",
+    "podcast_join": "with " + _JOINED + "select utterance_id, split, partition, categorical_emotion, valence, arousal, n_annotators from j",
+    "consensus_join": _PARTS + f", {_RATED} select p.partition, emotion_raw_label, count(*) as n from p join m on m.utterance_id = replace(p.utterance_id, '.wav', '') join s on s.utterance_id = m.utterance_id group by 1, 2",
     "annotator_list": """with a as (select utterance_id, list_sort(list(distinct upper(trim(annotator_id, ' '))) filter (annotator_id is not null)) as who from vad_annotations group by 1), s as (select distinct utterance_id from emotion_samples)
       select utterance_id, coalesce(array_to_string(who, ','), '') as annotators, coalesce(len(who), 0) as n from s left join a using (utterance_id)""",
     "podcast_splits": _PARTS + "select case " + " ".join(f"when partition in ({', '.join(repr(x) for x in names)}) then '{s}'".replace(",)", ")") for s, names in PARTITION_SPLITS.items()) + " else 'none' end as split, count(*) as n from p group by 1",
     "transcript_join": _TURNS + """, s as (select distinct sample_id, utterance_id, audio_path from emotion_samples)
       select sample_id, coalesce(t.utterance, '') as transcript, coalesce(length(audio_path), 0) > 0 as has_audio from s left join t on s.utterance_id = 'dia' || t.dialogue_id || '_utt' || t.utterance_id""",
-    "missing_labels": f"""with e(x) as {_values((x,) for x in EMOTIONS)}, d as (select distinct lower(dataset_name) as dataset from emotion_samples)
-      select dataset, coalesce(string_agg(x, ',' order by x) filter (not exists (select 1 from emotion_samples s where lower(s.dataset_name) = dataset and s.categorical_emotion = x)), '') as missing from d, e group by 1""",
+    "missing_labels": f"""with e(x) as {_values((x,) for x in EMOTIONS)}, d as (select distinct dataset_name as dataset from {ES})
+      select dataset, coalesce(string_agg(x, ',' order by x) filter (not exists (select 1 from {ES} s where s.dataset_name = dataset and s.categorical_emotion = x)), '') as missing from d, e group by 1""",
     "sft_split_sizes": "with n as (select count(distinct cot_id) as n from cot_samples) select unnest([false, true]) as is_val, unnest([n - floor(n * 0.1)::bigint, floor(n * 0.1)::bigint]) as n from n",
     "sft_summary": """select count(*) as n, count(*) filter (coalesce(audio_path, '') <> '') as with_audio, count(*) filter (len(context_turns) > 0 or contains(lower(transcript), 'context')) as with_context,
       round(avg(length(target_output)), 6) as mean_length, max(length(target_output)) as max_length, min(length(target_output)) as min_length from cot_samples where target_output <> ''""",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timbrel.plans import corpus, records, rubric_queries, signals
+from timbrel.plans import corpus, files, records, rubric_queries, signals
 
-MODULES = (records, corpus, rubric_queries, signals)
+MODULES = (records, corpus, files, rubric_queries, signals)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from timbrel.functions import columns as C
 from timbrel.functions import prompts as P
-from timbrel.operators import generator, scoring, sft
+from timbrel.operators import generator, samples, scoring, sft
+from timbrel.plans.corpus import ES, VA
 from timbrel.rubric import DIMENSIONS, NAMES, TITLES
 from timbrel.session import table
 from timbrel.sources.jsonl import SCORES
@@ -20,9 +21,9 @@ def _cot(spark, sf_dir):
 
 def _labelled(spark, sf_dir):
     """Samples with the mean of their on-scale ratings, brought to 1 to 5."""
-    s = table(spark, sf_dir, "emotion_samples").select("sample_id", "utterance_id", F.lower("dataset_name").alias("dataset"), "categorical_emotion", "emotion_intensity", F.coalesce(F.size("context_turns"), F.lit(0)).alias("n_context")).distinct()
+    s = samples.canonical(table(spark, sf_dir, "emotion_samples")).select("sample_id", "utterance_id", F.col("dataset_name").alias("dataset"), "categorical_emotion", "emotion_intensity", F.coalesce(F.size("context_turns"), F.lit(0)).alias("n_context")).distinct()
     top = F.when(F.col("dataset_name") == "msp_podcast", 7.0).otherwise(5.0)
-    a = table(spark, sf_dir, "vad_annotations").where(F.col("valence").between(1.0, top) & F.col("arousal").between(1.0, top))
+    a = samples.canonical(table(spark, sf_dir, "vad_annotations")).where(F.col("valence").between(1.0, top) & F.col("arousal").between(1.0, top))
     fit = lambda c: 1 + (F.col(c) - 1) * 4 / (top - 1)
     per = a.groupBy("utterance_id").agg(F.round(F.avg(fit("valence")), 6).alias("v"), F.round(F.avg(fit("arousal")), 6).alias("a"))
     return s.join(per, "utterance_id", "left")
@@ -130,7 +131,7 @@ _S = ("s1", "s2", "s3")
 
 def aggregate_mean(spark, sf_dir):
     a = scoring.aggregate_scores(_lines(spark, sf_dir), "l_orderkey", _S)
-    return a.select("l_orderkey", *(F.round(n, 1).alias(n) for n in _S), "n_annotators")
+    return a.select("l_orderkey", *_S, "n_annotators")
 
 
 def aggregate_median(spark, sf_dir):
@@ -276,9 +277,9 @@ _BATCH = f"""{_q(P.BATCH)} || 'Transcript: "' || coalesce(transcript, '') || '"'
 _JSON_TEXT = r"""regexp_replace(coalesce(reasoning, ''), '["\\' || chr(10) || chr(9) || chr(8203) || ']', ' ', 'g')"""
 _PART = "".join(f"\n{t}: {f}" for t, f in zip(P.EVIDENCE_TITLES, P.EVIDENCE_FIELDS))
 SQL = {
-    "oracle_scores": f"""with s as (select distinct sample_id, utterance_id, lower(dataset_name) as dataset, categorical_emotion as e, emotion_intensity as i, coalesce(len(context_turns), 0) as n from emotion_samples),
+    "oracle_scores": f"""with s as (select distinct sample_id, utterance_id, dataset_name as dataset, categorical_emotion as e, emotion_intensity as i, coalesce(len(context_turns), 0) as n from {ES}),
       r as (select utterance_id, round(avg(1 + (valence - 1) * 4 / (top - 1)), 6) as v, round(avg(1 + (arousal - 1) * 4 / (top - 1)), 6) as a
-        from (select *, case when dataset_name = 'msp_podcast' then 7.0::double else 5.0::double end as top from vad_annotations) where valence between 1 and top and arousal between 1 and top group by 1),
+        from (select *, case when dataset_name = 'msp_podcast' then 7.0::double else 5.0::double end as top from {VA}) where valence between 1 and top and arousal between 1 and top group by 1),
       x as (select s.*, case when v is null then 3 else least(5, greatest(1, v)) end::double as va, case when a is null then 3 else least(5, greatest(1, a)) end::double as aa,
         case when a is null then 3::double else least(5, greatest(1, 2 + abs(a - 3) * 1.5::double)) end as base,
         case when e is not null and dataset = 'ravdess' then 4::double when e is not null and dataset in ('iemocap', 'meld') then 3.5::double else 3::double end as fit, case when n > 0 then 3.5::double else 3::double end as tr

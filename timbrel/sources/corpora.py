@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timbrel.functions.columns import canonical_label, lookup, number, number_or, rescale, strip
+from timbrel.functions.columns import canonical_label, lookup, number, number_or, person_name, rescale, strip
 from timbrel.operators.frames import context_turns
 from timbrel.operators.samples import first_n
 from timbrel.sources import paths
@@ -84,8 +84,29 @@ def read_acted(spark: SparkSession, root: str, split: str = "train", actors: lis
 
 # ---- dyadic corpus: evaluation lines and transcripts ------------------------------------
 
-_EVALUATION = r"^\[(\d+\.\d+)\s*-\s*(\d+\.\d+)\]\s+(\S+)\s+(\w+)\s+\[(\d+\.\d+),\s*(\d+\.\d+),\s*(\d+\.\d+)\]"
-_SPOKEN = r"^(\S+)\s+\[\d+\.\d+-\d+\.\d+\]:\s*(.*)"
+def _decimals(fields: Column, n: int) -> Column:
+    """Whether an array holds exactly ``n`` plain decimal numbers with a point."""
+    return (F.size(fields) == n) & F.forall(fields, lambda x: x.rlike(r"^[0-9]+[.][0-9]+$"))
+
+
+def _evaluation(line: Column) -> dict[str, Column]:
+    """Parts of ``[start - end] utterance label [v, a, d]``: cut at the brackets, then at dash, blanks and commas."""
+    times = F.transform(F.split(F.substring_index(F.substring_index(line, "]", 1), "[", -1), "-"), strip)
+    after = line.substr(F.instr(line, "]") + F.lit(1), F.length(line))
+    named = F.substring_index(after, "[", 1)
+    names = F.split(strip(named), r"\s+")
+    values = F.transform(F.split(F.substring_index(F.substring_index(F.substring_index(after, "]", 1), "[", 2), "[", -1), ","), strip)
+    spaced = named.rlike(r"^\s.*\s$") & after.contains("[") & F.substring_index(after, "[", -1).contains("]")
+    fine = line.startswith("[") & _decimals(times, 2) & (F.size(names) == 2) & F.get(names, F.lit(1)).rlike(r"^\w+$") & _decimals(values, 3) & spaced
+    return {"fine": fine, "times": times, "utterance": F.get(names, F.lit(0)), "label": F.get(names, F.lit(1)), "values": values}
+
+
+def _spoken(line: Column) -> dict[str, Column]:
+    """Parts of ``utterance [start-end]: text``."""
+    head = F.substring_index(line, "]:", 1)
+    named, times = F.substring_index(head, "[", 1), F.split(F.substring_index(head, "[", -1), "-")
+    fine = line.contains("]:") & head.contains("[") & named.rlike(r"^\S+\s+$") & _decimals(times, 2)
+    return {"fine": fine, "utterance": strip(named), "text": strip(line.substr(F.length(head) + F.lit(3), F.length(line)))}
 
 
 def parse_evaluations(lines: DataFrame, line: str = "value", merge_excited: bool = True, parity: bool = False) -> DataFrame:
@@ -96,16 +117,18 @@ def parse_evaluations(lines: DataFrame, line: str = "value", merge_excited: bool
     parts before it.
     """
     t = strip(line)
-    g = lambda i: F.regexp_extract(t, _EVALUATION, i)
-    emotion = canonical_label(F.lit("iemocap"), F.lower(F.substring(g(4), 1, 3)))
+    e = _evaluation(t)
+    rows = lines.withColumn("_e", F.when(e["fine"], F.struct(*(e[n].alias(n) for n in ("times", "utterance", "label", "values"))))).where("_e is not null")
+    e = F.col("_e")
+    emotion = canonical_label(F.lit("iemocap"), F.lower(F.substring(e["label"], 1, 3)))
     if merge_excited:
         emotion = F.when(emotion == "excited", "happy").otherwise(emotion)
-    utterance = g(3)
+    utterance = e["utterance"]
     gender = F.lit("M") if parity else F.when(F.element_at(F.split(utterance, "_"), -1).startswith("F"), "F").otherwise("M")
     dialog = F.substring_index(utterance, "_", 2) if parity else F.regexp_replace(utterance, "_[^_]*$", "")
-    return lines.where(t.rlike(_EVALUATION)).select(
-        "*", number(g(1)).alias("start_time"), number(g(2)).alias("end_time"), utterance.alias("utterance_id"), F.lower(g(4)).alias("emotion_raw_label"), emotion.alias("categorical_emotion"),
-        F.struct(*(number(g(i)).alias(n) for i, n in ((5, "valence"), (6, "arousal"), (7, "dominance"))), F.lit("majority_vote").alias("annotator_id")).alias("vad"),
+    return rows.select(
+        *lines.columns, number(e["times"][0]).alias("start_time"), number(e["times"][1]).alias("end_time"), utterance.alias("utterance_id"), F.lower(e["label"]).alias("emotion_raw_label"), emotion.alias("categorical_emotion"),
+        F.struct(*(number(e["values"][i]).alias(n) for i, n in enumerate(("valence", "arousal", "dominance"))), F.lit("majority_vote").alias("annotator_id")).alias("vad"),
         gender.alias("gender"), dialog.alias("dialog_id"),
     )
 
@@ -113,14 +136,15 @@ def parse_evaluations(lines: DataFrame, line: str = "value", merge_excited: bool
 def parse_spoken_lines(lines: DataFrame, order: list[str], line: str = "value") -> DataFrame:
     """``(utterance_id, transcript)`` of transcript lines; comments are dropped, the last of several wins."""
     t = strip(line)
-    hit = lines.where(t.rlike(_SPOKEN) & ~t.startswith(";")).select(F.regexp_extract(t, _SPOKEN, 1).alias("utterance_id"), strip(F.regexp_extract(t, _SPOKEN, 2)).alias("transcript"), F.struct(*order).alias("o"))
+    said = _spoken(t)
+    hit = lines.where(said["fine"] & ~t.startswith(";")).select(said["utterance"].alias("utterance_id"), said["text"].alias("transcript"), F.struct(*order).alias("o"))
     return hit.groupBy("utterance_id").agg(F.max_by("transcript", "o").alias("transcript"))
 
 
 def _lines(spark: SparkSession, glob: str) -> DataFrame:
-    """Text lines with file and place in it; files are read whole by one task each, as they are small."""
-    raw = spark.read.text(glob, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    return raw.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    """Text lines with file and place in it. A large file is read in blocks: a block's start and the order of reading within it give the place."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("path"), place.alias("line"))
 
 
 def read_dyadic(spark: SparkSession, root: str, split: str = "train", sessions: list[int] | None = None, include_scripted: bool = True, include_improvised: bool = True, emotions: list[str] | None = None, merge_excited: bool = True, max_samples: int | None = None, parity: bool = False) -> DataFrame:
@@ -203,8 +227,8 @@ def rated_labels(annotations: DataFrame, order: list[str], top: float = 7.0, nor
     counting ratings whose dominance is on the scale.
     """
     on = lambda c: F.col(c).between(1.0, top)
-    person = F.upper(F.trim("annotator_id"))
-    rows = annotations.where(on("valence") & on("arousal") & F.col("utterance_id").isNotNull() & (F.length(person) > 0))
+    person = person_name()
+    rows = annotations.where(on("valence") & on("arousal") & F.col("utterance_id").isNotNull() & person.isNotNull())
     last = rows.groupBy("utterance_id", person.alias("person")).agg(F.max(F.struct(*order, "valence", "arousal", F.when(on("dominance"), F.col("dominance")).alias("dominance"))).alias("r"))
     fit = lambda c: rescale(c, top) if normalize else c
     return last.groupBy("utterance_id").agg(*(fit(F.avg(f"r.{n}")).alias(n) for n in ("valence", "arousal", "dominance")), F.count("*").alias("n_annotators"))

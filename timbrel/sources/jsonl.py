@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timbrel.rubric import NAMES
+from timbrel.sources import paths
 
 SCORES = "struct<" + ",".join(f"{n}:double" for n in NAMES) + ">"
 TRAINING = f"utterance_id string, audio_path string, transcript string, context_turns array<string>, target_output string, scores {SCORES}, oracle_scores {SCORES}"
@@ -40,6 +41,29 @@ def flat(df: DataFrame) -> DataFrame:
     )
 
 
-def append_checkpoint(df: DataFrame, path: str) -> None:
-    """Adds processed rows; nothing already there is written again."""
-    df.write.mode("append").json(path)
+META = "batch string, processed long, failed long, n_samples long"
+
+
+def append_checkpoint(df: DataFrame, path: str, batch: str, processed: int, failed: int = 0, key: str = "utterance_id") -> None:
+    """Adds the rows of one batch whose key is not there yet, then its counts, exactly once.
+
+    A batch has a folder of its own, which a repeated call replaces, and counts only once its
+    meta row stands; so a batch that broke off half way leaves nothing behind.
+    """
+    spark = df.sparkSession
+    done, _ = read_checkpoint(spark, path, df.schema)
+    if f"batch={batch}" in [p.rsplit("/", 1)[-1] for p in paths.children(spark, f"{path}/meta")]:
+        return
+    df.dropDuplicates([key]).join(done.select(key), key, "left_anti").select(*df.columns).write.mode("overwrite").json(f"{path}/rows/batch={batch}")
+    n = spark.read.schema(df.schema).json(f"{path}/rows/batch={batch}").count()
+    spark.createDataFrame([(batch, processed, failed, n)], META).coalesce(1).write.mode("overwrite").json(f"{path}/meta/batch={batch}")
+
+
+def read_checkpoint(spark: SparkSession, path: str, schema) -> tuple[DataFrame, dict[str, int]]:
+    """Rows of all finished batches, and the sums of their counts: ``processed``, ``failed`` and ``n_samples``."""
+    finished = [p for p in paths.children(spark, f"{path}/meta") if paths.exists(spark, f"{p}/_SUCCESS")]
+    if not finished:
+        return spark.createDataFrame([], schema), {"processed": 0, "failed": 0, "n_samples": 0}
+    meta = spark.read.schema(META).json(finished).agg(F.sum("processed").alias("processed"), F.sum("failed").alias("failed"), F.sum("n_samples").alias("n_samples")).first()
+    rows = spark.read.schema(schema).json([f"{path}/rows/{p.rsplit('/', 1)[-1]}" for p in finished])
+    return rows, meta.asDict()

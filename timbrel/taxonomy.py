@@ -11,6 +11,10 @@ LABELS = {
     "ravdess": {"01": "neutral", "02": "calm", "03": "happy", "04": "sad", "05": "angry", "06": "fear", "07": "disgust", "08": "surprise"},
     "meld": {"neutral": "neutral", "joy": "happy", "sadness": "sad", "anger": "angry", "fear": "fear", "disgust": "disgust", "surprise": "surprise"},
 }
+#: Corpora by their names without case and separators, split names, and what stands for an unknown speaker.
+CORPORA = {"iemocap": "iemocap", "meld": "meld", "msppodcast": "msp_podcast", "ravdess": "ravdess"}
+SPLITS = {"train": "train", "val": "val", "validation": "val", "dev": "val", "development": "val", "test": "test", "test1": "test", "test2": "test"}
+NO_SPEAKER = ["", "unknown", "n/a"]
 #: What the file-name codes of the acted corpus stand for.
 STATEMENTS = {"01": "Kids are talking by the door.", "02": "Dogs are sitting by the door."}
 INTENSITIES = {"01": "normal", "02": "strong"}

@@ -301,12 +301,12 @@ SQL = {
     "oracle_match_rate": "select count(*) as n, round(avg((" + " + ".join(f"(coalesce(abs(coalesce(scores.{n}, 3) - oracle_scores.{n}) <= 0.5, false))::int" for n in NAMES) + ") / 7.0::double), 6) as match_rate from cot_samples where oracle_scores is not null and scores is not null",
     "score_validation": "select array_to_string(list_filter([" + ", ".join(f"case when not coalesce(scores.{n} between 1 and 5, false) then '{n}' end" for n in NAMES) + "], lambda x: x is not null), ',') as invalid, count(*) as n from cot_samples group by 1",
     "mean_score": "select cot_id, round((" + " + ".join(f"scores.{n}" for n in NAMES) + ") / 7, 6) as mean_score from cot_samples where scores is not null",
-    "aggregate_mean": _K + "select l_orderkey, " + ", ".join(f"round(round_even(least(5, greatest(1, avg({n}))), 2), 1) as {n}" for n in _S) + ", count(*) as n_annotators from x group by 1",
+    "aggregate_mean": _K + "select l_orderkey, " + ", ".join(f"round_even(least(5, greatest(1, avg({n}))), 2) as {n}" for n in _S) + ", count(*) as n_annotators from x group by 1",
     "aggregate_median": _K + "select l_orderkey, " + ", ".join(f"round_even(least(5, greatest(1, median({n}))), 2) as {n}" for n in _S) + ", count(*) as n_annotators from x group by 1",
     "agreement": _K + "select l_orderkey, " + ", ".join(f"round(case when count({n}) < 2 then 1 else 1 - var_pop({n}) / greatest(var_pop({n}) + 1e-8, 1) end, 6) as {n}" for n in _S) + " from x group by 1",
-    "k_average": _K + "select l_orderkey, " + ", ".join(f"round_even(avg({n}), 2) as {n}, round_even(stddev_pop({n}), 3) as {n}_std" for n in _S) + ", count(*) as k_samples from x group by 1 having count(*) in (1, 2, 4, 8)",
+    "k_average": _K + "select l_orderkey, " + ", ".join(f"round_even(avg({n}), 2) as {n}, round_even(stddev_pop({n}), 3) as {n}_std" for n in _S) + ", count(*) as k_samples from x group by 1",
     "k_best": _K + ", m as (select l_orderkey, " + ", ".join(f"round_even(avg({n}), 2) as m_{n}" for n in _S) + ", count(*) as n from x group by 1), d as (select x.l_orderkey, k, round(" + " + ".join(f"pow({n} - m_{n}, 2)" for n in _S)
-    + ", 9) as dist from x join m using (l_orderkey) where n in (1, 2, 4, 8)) select l_orderkey, k.a as line, k.b as part from d qualify row_number() over (partition by l_orderkey order by dist, k.a, k.b, k.c) = 1",
+    + ", 9) as dist from x join m using (l_orderkey)) select l_orderkey, k.a as line, k.b as part from d qualify row_number() over (partition by l_orderkey order by dist, k.a, k.b, k.c) = 1",
     "rubric_table": "select * from (values " + ", ".join(f"({_q(d.name)}, {_q(d.title)}, {i}::bigint, {_q(a)}, {_q(b)})" for d in DIMENSIONS for i, (a, b) in enumerate(d.anchors, 1)) + ") r(dimension, title, score, label, description)",
     "evidence_prompt": f"with s as (select distinct sample_id, transcript, context_turns from emotion_samples), t as (select sample_id, name as dimension, {_EVIDENCE} as p from s, {_RUBRIC}) select sample_id, dimension, md5(p) as prompt_md5, length(p) as n_chars from t",
     "judgment_prompt": f"with t as (select cot_id, {_JUDGE} as p from cot_samples) select cot_id, md5(p) as prompt_md5, length(p) as n_chars from t",

@@ -70,3 +70,15 @@ def test_a_cut_id_list_decodes_to_replacement_characters(spark):
     df = spark.createDataFrame([(1, ids[:1]), (2, None), (3, ids)], "doc_id long, ids array<int>")
     got = {r.doc_id: r.text for r in K.decode(df).collect()}
     assert "�" in got[1] and got[2] == "" and got[3] == "🙂"
+
+
+def test_other_vocabularies_are_encoded_whole(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["Cafe\u0301 noir", "É  X", "", "It's 12"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tok = Tokenizer.from_file("/opt/tokenizers/word_bpe_49k.json")
+    want = {i: tok.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids for r in K.encode(df, tokenizer="word_bpe_49k").collect()} == want
+    with pytest.raises(Exception, match="changes texts"):
+        K.decode(K.encode(df, tokenizer="word_bpe_49k"), tokenizer="word_bpe_49k").collect()

@@ -1,39 +1,9 @@
-"""How the label columns of emotion_samples are read."""
+"""How the label columns of emotion_samples are read; see :mod:`timbrel.functions.columns`."""
 
-from __future__ import annotations
+from timbrel.functions.columns import category, outer, speaker_name
+from timbrel.functions.columns import corpus_name as corpus
+from timbrel.functions.columns import person_name as person
+from timbrel.functions.columns import split_name as split
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-#: Corpora by their names without case and separators, split names, categories, unknown speakers.
-CORPORA = {"iemocap": "iemocap", "meld": "meld", "msppodcast": "msp_podcast", "ravdess": "ravdess"}
-SPLITS = {"train": "train", "val": "val", "validation": "val", "dev": "val", "development": "val", "test": "test", "test1": "test", "test2": "test"}
-CATEGORIES = ["neutral", "happy", "sad", "angry", "fear", "disgust", "surprise", "excited", "frustrated", "calm", "other"]
-NO_SPEAKER = ["", "unknown", "n/a"]
-
-
-def outer(c) -> Column:
-    """Without outer white space of any kind."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
-def _map(values: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
-
-
-def corpus(c="dataset_name") -> Column:
-    return _map(CORPORA)[F.regexp_replace(F.lower(c), r"(?U)[\s_-]+", "")]
-
-
-def split(c="split") -> Column:
-    return _map(SPLITS)[F.lower(outer(c))]
-
-
-def category(c="categorical_emotion") -> Column:
-    v = F.lower(outer(c))
-    return F.when(v.isin(CATEGORIES), v)
-
-
-def speaker(c="speaker_id") -> Column:
-    v = F.lower(outer(c))
-    return F.when(~v.isin(NO_SPEAKER), v)
+speaker = speaker_name
+__all__ = ["category", "corpus", "outer", "person", "speaker", "split"]

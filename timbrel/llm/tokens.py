@@ -7,6 +7,9 @@ the result is that of encoding whole texts (a test compares them over every
 character of the basic plane). Texts with characters beyond that plane, on whose
 classes two Unicode tables may differ, are encoded whole.
 
+A vocabulary file with another way of cutting, or one that normalises, is used by the library on whole texts; as its
+texts cannot be read back from bytes, offsets and decoding refuse it.
+
 Defined cases: null and empty texts give an empty list; special tokens in a text are
 ordinary text; a repeated row comes out as often as it goes in; an empty table gives
 an empty result; no text is cut.
@@ -45,9 +48,17 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def is_plain(spec: dict) -> bool:
+    """Whether a vocabulary file stands for bytes as they are, cut by :data:`PATTERN`."""
+    cut = spec.get("pre_tokenizer") or {}
+    return not spec.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+
+
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of every id of the vocabulary file."""
     spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    if not is_plain(spec):
+        raise ValueError(f"{path} changes texts, so its ids do not stand for their bytes")
     table = byte_chars()
     out = [b""] * (max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec.get("added_tokens", []))]) + 1)
     for token, i in spec["model"]["vocab"].items():
@@ -68,11 +79,14 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.plain = is_plain(json.loads(Path(path).read_text(encoding="utf-8")))
         self.wide = regex.compile(PATTERN)
         self.known: dict[str, list[int]] = {}
 
     def pretokens(self, text: str) -> list[str] | None:
         """The pre-tokens, or None where the text must be encoded whole."""
+        if not self.plain:
+            return None
         if text.isascii():
             return _ASCII.findall(text)
         return self.wide.findall(text) if max(text) <= "￿" else None

@@ -49,11 +49,20 @@ def test_pairs_against_brute_force(spark, docs, cap):
     assert {tuple(r) for r in got} == brute(docs) and len(got) == len(set(map(tuple, got)))
 
 
-def test_share_of_each_record(spark, docs):
-    got = {r.doc_id: r for r in S.shared_share(spark.createDataFrame([(*x, 0, 0) for x in docs], SCHEMA)).collect()}
-    assert set(got) == {x for p in brute(docs) for x in p}
-    assert all(400 <= r.shared_chars <= r.n_chars for r in got.values())
-    assert got[5000].shared_chars == got[5000].n_chars
+@pytest.mark.parametrize("cap", [16, 2])
+def test_share_of_each_record(spark, docs, cap):
+    got = {(r.doc_id, r.n_chars): r for r in S.shared_share(spark.createDataFrame([(*x, 0, 0) for x in docs], SCHEMA), max_group=cap).collect()}
+    assert {d for d, _ in got} == {x for p in brute(docs) for x in p}
+    texts = {t for d, t in docs if t and d is not None}
+    count = lambda t: len({d for d, x in docs if x == t and d is not None})
+    windows = {}
+    for t in texts:
+        for w in {t[i : i + 400] for i in range(len(t) - 399)}:
+            windows[w] = windows.get(w, 0) + count(t)
+    for (d, n), r in got.items():
+        (t,) = {x for y, x in docs if y == d and x and len(x) == n}
+        covered = {k for i in range(n - 399) if windows[t[i : i + 400]] > 1 for k in range(i, i + 400)}
+        assert (r.shared_chars, r.n_copies) == (len(covered), count(t) - 1)
 
 
 def test_empty_and_unrelated(spark):

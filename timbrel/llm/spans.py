@@ -16,9 +16,12 @@ window have in common. Chains are grouped by name; those of one
 record only, nearly all, are dropped after a map-side count. Groups of up to
 ``MAX_GROUP`` texts give candidate pairs. A larger group is not paired: its texts are
 hashed anew at every window of ``min_chars`` characters over the chain, and windows are
-grouped instead, where each pair is a result. All candidates are verified on the texts.
+grouped instead. Where pairs are wanted each pair of such a group is a result; where only the shared part of
+each text is, a group's texts are compared with its first one alone, as that one holds the same
+window. All candidates are verified on the texts.
 
-Equal texts are one class from the start and are expanded again at the end.
+Equal texts are one class from the start, told apart by a second hash where their class ids fall together, and
+are expanded again at the end.
 
 Defined cases: null and short texts share nothing; a repeated id counts as one record
 with all its texts; a span counts by code points, whatever they are (blanks and runs of
@@ -35,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timbrel.llm.words import mix
+from timbrel.operators.skew import hot_join, salted_join
 from timbrel.session import bounded, discard, written
 
 MIN_CHARS = 400
@@ -44,6 +48,8 @@ CHAIN = 220
 MAX_GROUP = 16
 #: Rows of eight or sixteen bytes that may be broadcast; larger tables meet by a shuffle.
 MAX_BROADCAST = 2_000_000
+#: A text in more pairs than this is sent to several tasks, each with part of its pairs.
+MANY = 5_000
 #: Characters named at once; a longer text is one piece of its own.
 PIECE = 2_000_000
 
@@ -232,11 +238,12 @@ def _shared_intervals(a: np.ndarray, b: np.ndarray, size: int) -> tuple[list[tup
 
 
 def _classes(docs: DataFrame, min_chars: int) -> DataFrame:
-    return docs.where(F.length("text") >= min_chars).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("cls"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    text = F.col("text").cast("string")
+    return docs.where(F.length(text) >= min_chars).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("cls"), text.alias("text")).where("doc_id is not null")
 
 
-def candidate_pairs(texts: DataFrame, min_chars: int = MIN_CHARS, max_group: int = MAX_GROUP) -> DataFrame:
-    """``(cls_a, cls_b)`` with ``cls_a < cls_b``: pairs of text classes that share a chain, each once."""
+def candidate_pairs(texts: DataFrame, min_chars: int = MIN_CHARS, max_group: int = MAX_GROUP, every: bool = True) -> DataFrame:
+    """``(cls_a, cls_b)`` with ``cls_a < cls_b``: pairs of text classes that share a chain, each once; of large groups without ``every`` those with the first class."""
     occ = written(texts.select("cls", "text").mapInArrow(_occurrences, "chain long, cls long"), "chains")
     groups = occ.groupBy("chain").agg(F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
     groups = written(groups, "groups")
@@ -249,7 +256,7 @@ def candidate_pairs(texts: DataFrame, min_chars: int = MIN_CHARS, max_group: int
     few = _within(some.groupBy("chain").agg(F.array_sort(F.collect_set("cls")).alias("all")))
     out = two.union(few)
     if hot:
-        out = out.union(_large_groups(texts, shared.join(bounded(large, MAX_BROADCAST), "chain").distinct(), min_chars, max_group))
+        out = out.union(_large_groups(texts, shared.join(bounded(large, MAX_BROADCAST), "chain").distinct(), min_chars, every))
     pairs = written(out.distinct(), "pairs")
     discard(occ)
     discard(groups)
@@ -262,8 +269,8 @@ def _within(groups: DataFrame) -> DataFrame:
     return left.select("cls_a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("cls_b"))
 
 
-def _large_groups(texts: DataFrame, hot: DataFrame, min_chars: int, max_group: int) -> DataFrame:
-    """Pairs of large groups, over hashes of whole windows around the chain."""
+def _large_groups(texts: DataFrame, hot: DataFrame, min_chars: int, every: bool) -> DataFrame:
+    """Pairs of large groups, over hashes of whole windows around the chain: all, or each class with the window's first one."""
     wanted = hot.groupBy("cls").agg(F.collect_set("chain").alias("chains"))  # bounded by the text's own chains
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,23 +285,27 @@ def _large_groups(texts: DataFrame, hot: DataFrame, min_chars: int, max_group: i
 
     own = texts.select("cls", "text").join(wanted, "cls").dropDuplicates(["cls"]).select("cls", "text", "chains")
     win = written(own.mapInArrow(run, "win long, cls long"), "windows")
-    shared = win.groupBy("win").agg(F.count("*").alias("n"), F.min("cls").alias("lo")).where("n > 1")
+    shared = written(win.groupBy("win").agg(F.count("*").alias("rows"), F.min("cls").alias("lo")).where("rows > 1"), "shared")
     # texts with the same set of shared windows form the same pairs: one window of each set is kept
-    linked = win.join(shared, "win")
-    signature = linked.groupBy("win", "n").agg(F.bit_xor(F.xxhash64("cls")).alias("sig"))
-    kept = signature.groupBy("n", "sig").agg(F.min("win").alias("win"))
-    left = win.join(kept.select("win"), "win").select("win", F.col("cls").alias("cls_a"))
-    right = win.join(kept.select("win"), "win").select("win", F.col("cls").alias("cls_b"))
-    return left.join(right, "win").where("cls_a < cls_b").select("cls_a", "cls_b")
+    linked = hot_join(win, shared, ["win"])
+    signature = linked.groupBy("win", "rows", "lo").agg(F.bit_xor(F.xxhash64("cls")).alias("sig"))
+    kept = written(signature.groupBy("rows", "sig").agg(F.min("win").alias("win"), F.min("lo").alias("lo")).select("win", "rows", "lo"), "kept")
+    held = hot_join(win, kept, ["win"])
+    if not every:
+        return held.where("cls > lo").select(F.col("lo").alias("cls_a"), F.col("cls").alias("cls_b"))
+    held = written(held, "linked")
+    pairs = salted_join(held.select("win", F.col("cls").alias("cls_a")), held.select("win", F.col("cls").alias("cls_b")), kept, ["win"])
+    return pairs.where("cls_a < cls_b").select("cls_a", "cls_b")
 
 
 def class_spans(texts: DataFrame, pairs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(cls_a, cls_b, spans_a, spans_b)`` of the candidate pairs that do share a span; spans as ``[start, end)``."""
-    # only texts in some pair are moved
-    used = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
+    # only texts in some pair are moved; the pairs of a text in many of them stay where they are
+    per = pairs.groupBy(F.col("cls_a").alias("cls")).agg(F.count("*").alias("rows"), F.lit(0).alias("second")).union(pairs.groupBy("cls_b").agg(F.lit(0), F.count("*")))
+    used = written(per.groupBy("cls").agg(F.sum("rows").alias("rows"), F.sum("second").alias("second")), "used")
     one = written(texts.select("cls", "text").join(bounded(used, MAX_BROADCAST), "cls").dropDuplicates(["cls"]), "texts")
-    a = one.select(F.col("cls").alias("cls_a"), F.col("text").alias("text_a"))
-    b = one.select(F.col("cls").alias("cls_b"), F.col("text").alias("text_b"))
+    a = one.where("rows > 0").select(F.col("cls").alias("cls_a"), F.col("text").alias("text_a"))
+    b = one.where("second > 0").select(F.col("cls").alias("cls_b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -309,17 +320,18 @@ def class_spans(texts: DataFrame, pairs: DataFrame, min_chars: int = MIN_CHARS)
             yield pa.RecordBatch.from_arrays(cols, names=["cls_a", "cls_b", "spans_a", "spans_b"])
 
     kind = "array<struct<start:int,end:int>>"
-    both = pairs.join(a, "cls_a").join(b, "cls_b").select("cls_a", "cls_b", "text_a", "text_b")
+    first = salted_join(pairs, a, used.select(F.col("cls").alias("cls_a"), "rows"), ["cls_a"], least=MANY)
+    both = salted_join(first, b, used.select(F.col("cls").alias("cls_b"), F.col("second").alias("rows")), ["cls_b"], least=MANY).select("cls_a", "cls_b", "text_a", "text_b")
     return both.mapInArrow(run, f"cls_a long, cls_b long, spans_a {kind}, spans_b {kind}")
 
 
-def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS, max_group: int = MAX_GROUP) -> tuple[DataFrame, DataFrame]:
-    """``(members, spans)``: ``(doc_id, cls, n_chars)`` of all long texts, and :func:`class_spans` of their classes."""
+def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS, max_group: int = MAX_GROUP, every: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(members, spans)``: ``(doc_id, cls, tag, n_chars)`` of all long texts, and :func:`class_spans` of their classes."""
     if min_chars < MIN_CHARS:
         raise ValueError(f"chains are laid out for spans of at least {MIN_CHARS} characters")
     texts = _classes(docs, min_chars)
-    members = texts.select("doc_id", "cls", F.length("text").alias("n_chars")).distinct()
-    return members, class_spans(texts, candidate_pairs(texts, min_chars, max_group), min_chars)
+    members = texts.select("doc_id", "cls", F.xxhash64(F.lit("tag"), "text").alias("tag"), F.length("text").alias("n_chars")).distinct()
+    return members, class_spans(texts, candidate_pairs(texts, min_chars, max_group, every), min_chars)
 
 
 def document_pairs(docs: DataFrame, min_chars: int = MIN_CHARS, max_group: int = MAX_GROUP) -> DataFrame:
@@ -328,9 +340,10 @@ def document_pairs(docs: DataFrame, min_chars: int = MIN_CHARS, max_group: int =
     one = members.select(F.col("doc_id").alias("x"), F.col("cls").alias("cls_a"))
     two = members.select(F.col("doc_id").alias("y"), F.col("cls").alias("cls_b"))
     unlike = spans.select("cls_a", "cls_b").join(one, "cls_a").join(two, "cls_b").select("x", "y")
-    copies = members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
-    held = members.join(copies, "cls")
-    alike = held.select("cls", F.col("doc_id").alias("x")).join(held.select("cls", F.col("doc_id").alias("y")), "cls").where("x < y").select("x", "y")
+    keys = ["cls", "tag"]
+    copies = written(members.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1"), "copies")
+    held = written(hot_join(members, copies, keys).select(*keys, "doc_id"), "copied")
+    alike = salted_join(held.withColumnRenamed("doc_id", "x"), held.withColumnRenamed("doc_id", "y"), copies, keys).where("x < y").select("x", "y")
     return (
         unlike.union(alike)
         .where("x <> y")
@@ -340,15 +353,14 @@ def document_pairs(docs: DataFrame, min_chars: int = MIN_CHARS, max_group: int =
 
 
 def shared_share(docs: DataFrame, min_chars: int = MIN_CHARS, max_group: int = MAX_GROUP) -> DataFrame:
-    """``(doc_id, n_chars, shared_chars, n_classes)`` of documents that share spans.
+    """``(doc_id, cls, n_copies, n_chars, shared_chars)`` of documents that share spans.
 
-    ``shared_chars`` are the code points in some shared span, ``n_classes`` the other
-    texts shared with. A text that another document copies whole is shared whole.
+    ``cls`` is the class of equal texts and ``n_copies`` its other documents; ``shared_chars`` are the
+    code points in some shared span. A text that another document copies whole is shared whole.
+    No pairs of large groups are formed.
     """
-    members, spans = shared_spans(docs, min_chars, max_group)
-    sided = spans.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other"), F.col("spans_a").alias("spans")).union(
-        spans.select(F.col("cls_b"), F.col("cls_a"), F.col("spans_b"))
-    )
+    members, spans = shared_spans(docs, min_chars, max_group, every=False)
+    sided = spans.select(F.col("cls_a").alias("cls"), F.col("spans_a").alias("spans")).union(spans.select("cls_b", "spans_b"))
     # interval ends as +1/-1 events; covered length by a running sum in one pass per class
     events = sided.select("cls", F.explode("spans").alias("s")).select(
         "cls", F.explode(F.array(F.struct(F.col("s.start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("s.end").alias("at"), F.lit(-1).alias("d")))).alias("e")
@@ -358,16 +370,8 @@ def shared_share(docs: DataFrame, min_chars: int = MIN_CHARS, max_group: int = M
         "cls", "at", "sum(d) over (partition by cls order by at) as depth", "lead(at) over (partition by cls order by at) as next"
     )
     covered = depth.where("depth > 0").groupBy("cls").agg(F.sum(F.col("next") - F.col("at")).alias("covered"))
-    partners = sided.groupBy("cls").agg(F.count("*").alias("n_classes"))
-    size = members.groupBy("cls").agg(F.count("*").alias("copies"))
-    return (
-        members.join(size, "cls")
-        .join(covered.join(partners, "cls"), "cls", "left")
-        .where("copies > 1 or covered is not null")
-        .select(
-            "doc_id",
-            F.col("n_chars").cast("long").alias("n_chars"),
-            F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.col("covered")).cast("long").alias("shared_chars"),
-            F.coalesce("n_classes", F.lit(0)).cast("long").alias("n_classes"),
-        )
-    )
+    size = members.groupBy("cls", "tag").agg(F.count("*").alias("rows"))
+    held = written(size.join(covered, "cls", "left").where("rows > 1 or covered is not null"), "covered")
+    copies = F.col("rows") - 1
+    shared = F.when(copies > 0, F.col("n_chars")).otherwise(F.col("covered")).cast("long")
+    return hot_join(members, held, ["cls", "tag"]).select("doc_id", "cls", copies.alias("n_copies"), F.col("n_chars").cast("long").alias("n_chars"), shared.alias("shared_chars"))

@@ -46,9 +46,10 @@ def build(seed=0):
     return [(i, "meld", s, None, t, 0, 0) for i, (s, t) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("least", [10_000, 3])
-def test_near_pairs_against_brute_force(spark, least, monkeypatch):
+@pytest.mark.parametrize("least, sieve", [(10_000, 28), (3, 28), (3, 1), (10_000, 1)])
+def test_near_pairs_against_brute_force(spark, least, sieve, monkeypatch):
     monkeypatch.setattr(O, "HOT_LEAST", least)
+    monkeypatch.setattr(O, "SIEVE_BITS", sieve)
     rows = build(least)
     got = {tuple(r) for r in O.overlap_pairs(O.overlaps(spark.createDataFrame(rows, SCHEMA))).collect()}
     tr = [(r[0], words(r[4])) for r in rows if r[2] == "train"]
@@ -80,10 +81,12 @@ def test_files_splits_and_odd_rows(spark):
     assert {tuple(r) for r in O.overlap_pairs(found).collect()} == {(1, 2), (1, 5), (1, 6), (3, 9)}
     kinds = {(r.held_id, r.kind): r.containment for r in found.collect()}
     assert kinds[5, "exact"] == 1.0 and 0.8 < kinds[6, "near"] < 1 and kinds[2, "file"] is None
-    report = {(r.split, r.dataset_name, r.kind): r.n_records for r in O.overlap_report(found, spark.createDataFrame(rows, SCHEMA)).collect()}
+    files = {r.sample_id: r.n_links for r in O.file_classes(O.records(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert files == {1: 1, 2: 1, 3: 1, 9: 1}
+    report = {(r.split, r.dataset_name, r.kind): r.n_records for r in O.overlap_report(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert report["val", "msp_podcast", "file"] == 1 and report["test", "unknown", "near"] == 1
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
-    assert O.overlaps(df).count() == 0 and O.overlap_report(O.overlaps(df), df).count() == 0
+    assert O.overlaps(df).count() == 0 and O.overlap_report(df).count() == 0

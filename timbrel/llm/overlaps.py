@@ -4,12 +4,13 @@ Two rules: the same audio file name within a corpus, or transcripts of at least
 ``MIN_WORDS`` words of which one becomes the other by at most one word edit for every six
 words of the longer one.
 
-Equal transcripts are one class from the start. For unequal ones, word n-gram hashes of
-the held-out classes are partitioned and training is scanned for hits, and the other way
-round: the longer of two similar texts has ``k + 1`` disjoint n-grams (``k`` edits allowed
+Equal transcripts are one class from the start. For unequal ones, the word n-gram hashes of the
+held-out classes are laid out first, and training is scanned for hits: a sieve of them, bounded in
+size, is broadcast, and training n-grams that pass it meet them partitioned by hash. The longer
+of two similar texts has ``k + 1`` disjoint n-grams (``k`` edits allowed
 at its length), of which one at least stands untouched in the shorter one, displaced by
 ``k`` words at most. So one side lays out ``k + 1`` disjoint n-grams, the other all of its
-n-grams, and no similar pair is lost. N-grams of more than ``1 / HOT`` of all places are
+n-grams, in both directions, and no similar pair is lost. N-grams of more than ``1 / HOT`` of all places are
 hot; at most ``HOT`` exist, and their list is broadcast. Disjoint n-grams are placed beside
 hot ones wherever the text allows it; where it does not, the key of a hot one also holds
 classes of length and place, so that its group splits. Pairs that meet are compared by an edit
@@ -23,6 +24,7 @@ one record; empty tables give an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,17 @@ from pyspark.sql import functions as F
 
 from timbrel.llm import fields
 from timbrel.llm.words import WordIds, grams, mix, words
+from timbrel.operators.skew import hot_join, salted_join
 from timbrel.session import written
 
 MIN_WORDS = 10
 EDIT_EVERY = 6
 GRAM = 4
-HOT = 20_000
+#: So many n-grams may be hot, 8 MB to broadcast; a cold one of 10^12 places has 10^6 at most.
+HOT = 1_000_000
 HOT_LEAST = 100
+#: Bits of the largest sieve of held-out n-grams, 32 MB; with more n-grams than half of its bits it would let nearly all pass and is left out.
+SIEVE_BITS = 28
 #: Words up to which the layout of disjoint n-grams is optimised exactly.
 EXACT_LAYOUT = 200
 CONTAINMENT_GRAM = 5
@@ -79,13 +85,23 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _gram_keys(codes: str) -> np.ndarray:
-    return grams(np.frombuffer(codes.encode("utf-32-le"), np.uint32).astype(np.uint64), GRAM)
+class Texts:
+    """The n-grams of many code strings: hashes, and the text and place of each."""
+
+    def __init__(self, codes: list[str]):
+        self.n = np.fromiter(map(len, codes), np.int64, len(codes))
+        self.starts = np.concatenate([[0], np.cumsum(self.n)])[:-1]
+        flat = np.frombuffer("".join(codes).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        self.all = grams(flat, GRAM)  # also those over a text's end
+        text = np.repeat(np.arange(len(codes)), self.n)
+        place = np.arange(len(flat)) - self.starts[text]
+        self.index = np.flatnonzero(place <= self.n[text] - GRAM)
+        self.text, self.place, self.key = text[self.index], place[self.index], self.all[self.index]
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(_gram_keys, b.column(0).to_pylist())]), return_counts=True)
+        keys, counts = np.unique(Texts(b.column(0).to_pylist()).key, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
 
@@ -122,58 +138,93 @@ def _disjoint(hot: np.ndarray, pieces: int) -> list[int]:
     return out[::-1]
 
 
-def _width(n: int) -> int:
-    """Width of the length and place classes of hot n-grams for a longer text of ``n`` words: a power of two above its edits."""
-    return 1 << (n // EDIT_EVERY + 1).bit_length()
+def _width(n: np.ndarray) -> np.ndarray:
+    """Width, as a power of two above its edits, of the length and place classes of hot n-grams for longer texts of ``n`` words."""
+    return np.frexp((n // EDIT_EVERY + 1).astype(float))[1].astype(np.uint64)
 
 
-def _placed(key, width: int, length, at) -> np.ndarray:
+def _placed(key: np.ndarray, width: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Keys of hot n-grams by class of text length and place."""
-    where = np.asarray(length, np.uint64) // np.uint64(width) * np.uint64(1 << 24) + np.asarray(at, np.uint64) // np.uint64(width)
-    return mix(key ^ mix(where * np.uint64(64) + np.uint64(width.bit_length())))
+    where = (length.astype(np.uint64) >> width) * np.uint64(1 << 24) + (at.astype(np.uint64) >> width)
+    return mix(key ^ mix(where * np.uint64(64) + width))
+
 
+def _once(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key of a text once."""
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    fresh = np.ones(len(text), bool)
+    fresh[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+    return text[fresh], key[fresh]
 
-def _keys(hot_list: list[int]):
-    """Function that lays out the keys of each class: ``long`` rows for disjoint n-grams, others for all n-grams.
+
+def _rows(texts: Texts, hot_keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """``(text, key, place, long)``: all n-grams of each text, and ``long`` the disjoint ones of it as the longer text.
 
     A hot n-gram's key holds its class of length and place and its row no place (-1).
     """
-
-    def rows_of(n: int, g: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        at, k = np.arange(len(g)), n // EDIT_EVERY
-        yield g[~hot], at[~hot], False
-        if hot.any():
-            # the longer text has up to a fifth more words, so one of at most two widths
-            keys = [_placed(g[hot], w, n, at[hot]) for w in {_width(n), _width(n + n // (EDIT_EVERY - 1))}]
-            keys = np.unique(np.concatenate(keys))
-            yield keys, np.full(len(keys), -1), False
-        own = np.array(_disjoint(hot, k + 1))
-        cold = own[~hot[own]]
-        yield g[cold], cold, True
-        hit, w = own[hot[own]], _width(n)
-        if len(hit):
-            keys = [_placed(g[hit], w, m, np.clip(hit + d, 0, None)) for m in {max(n - k, 0), n} for d in (-k, 0, k)]
-            keys = np.unique(np.concatenate(keys))
-            yield keys, np.full(len(keys), -1), True
+    n, key, text, place = texts.n, texts.key, texts.text, texts.place
+    hot = np.zeros(len(key), bool)
+    if len(hot_keys):
+        hot = hot_keys[np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)] == key
+    out = [(text[~hot], key[~hot], place[~hot], False)]
+    if hot.any():
+        # the longer text has up to a fifth more words, so one of at most two widths
+        m = n[text[hot]]
+        widths = (_width(m), _width(m + m // (EDIT_EVERY - 1)))
+        t, k = _once(np.tile(text[hot], 2), np.concatenate([_placed(key[hot], w, m, place[hot]) for w in widths]))
+        out.append((t, k, np.full(len(k), -1), False))
+    pieces = n // EDIT_EVERY + 1
+    text = np.repeat(np.arange(len(n)), pieces)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    place = n[text] * nth // pieces[text]
+    flags = np.zeros(len(texts.all) + GRAM, bool)
+    flags[texts.index] = hot
+    for t in np.unique(text[flags[texts.starts[text] + place]]).tolist():  # an even layout that meets a hot one
+        i, j = texts.starts[t], texts.starts[t] + n[t] - GRAM + 1
+        place[text == t] = _disjoint(flags[i:j], int(pieces[t]))
+    at = texts.starts[text] + place
+    hit = flags[at]
+    out.append((text[~hit], texts.all[at[~hit]], place[~hit], True))
+    if hit.any():
+        text, place, key = text[hit], place[hit], texts.all[at[hit]]
+        m = n[text]
+        k, w = m // EDIT_EVERY, _width(m)
+        keys = [_placed(key, w, size, np.maximum(place + d, 0)) for size in (m - k, m) for d in (-k, 0 * k, k)]
+        t, k = _once(np.tile(text, len(keys)), np.concatenate(keys))
+        out.append((t, k, np.full(len(k), -1), True))
+    return out
+
+
+def _sieve_place(key: np.ndarray, long: bool, bits: int) -> np.ndarray:
+    """The sieve's bit of a held-out key by its role."""
+    return (mix(key + np.uint64(long)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _layout(hot_keys: np.ndarray, bits: int = 0, sieve=None):
+    """Function that lays out the rows of each class; with a broadcast ``sieve`` only those that a held-out row of the other role may meet.
+
+    Without one, ``word`` and ``bit`` say where a row stands in a sieve of ``bits``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_keys = np.sort(np.array(hot_list, np.int64).view(np.uint64))
         for b in batches:
-            out: list[tuple] = []
-            for cls, n, train, held, code in zip(*(b.column(k).to_pylist() for k in range(5))):
-                g = _gram_keys(code)
-                out += [(*r, cls, n, train, held) for r in rows_of(n, g, np.isin(g, hot_keys))]
-            size = [len(x[0]) for x in out]
-            rep = lambda i, t: np.repeat(np.array([x[i] for x in out], t), size)
-            cat = lambda i, t: np.concatenate([np.zeros(0, t), *(x[i] for x in out)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cat(0, np.uint64).view(np.int64)), pa.array(cat(1, np.int64).astype(np.int32)), pa.array(rep(2, bool)), pa.array(rep(3, np.int64)), pa.array(rep(4, np.int32)), pa.array(rep(5, bool)), pa.array(rep(6, bool))],
-                names=["key", "at", "long", "cls", "n", "train", "held"],
-            )
+            cls, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            parts = []
+            for text, key, place, long in _rows(Texts(b.column(2).to_pylist()), hot_keys):
+                at = _sieve_place(key, long != (sieve is not None), bits) if bits else np.zeros(len(key), np.int64)
+                if sieve is not None:
+                    held = ((sieve.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+                    text, key, place, at = text[held], key[held], place[held], at[held]
+                parts.append((key.view(np.int64), place.astype(np.int32), np.full(len(key), long), cls[text], n[text].astype(np.int32), at))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["key", "at", "long", "cls", "n", "spot"])
 
     return run
 
 
+LAYOUT = "key long, at int, long boolean, cls long, n int, spot long"
+
+
 def _word_distance(a: list[str], b: list[str], most: int) -> int:
     """Edit distance over words, or ``most + 1`` if it is larger."""
     row = list(range(len(b) + 1))
@@ -211,13 +262,26 @@ def similar_classes(classes: DataFrame) -> DataFrame:
     """
     counts = classes.select("code").mapInArrow(_gram_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     total = classes.agg(F.sum(F.col("n") - (GRAM - 1))).first()[0] or 0
-    hot = [r.key for r in counts.where(F.col("n") > max(HOT_LEAST, total // HOT)).select("key").collect()]  # at most HOT keys
-    layout = classes.select("cls", "n", "train", "held", "code").mapInArrow(_keys(hot), "key long, at int, long boolean, cls long, n int, train boolean, held boolean")
-    layout = written(layout, "keys")
-    a = layout.where("long").select("key", *(F.col(c).alias(f"{c}_a") for c in ("at", "cls", "n", "train", "held")))
-    b = layout.where("not long").select("key", *(F.col(c).alias(f"{c}_b") for c in ("at", "cls", "n", "train", "held")))
-    near = f"(train_a and held_b or held_a and train_b) and n_b <= n_a and n_a - n_b <= n_a div {EDIT_EVERY} and (at_a < 0 or abs(at_a - at_b) <= n_a div {EDIT_EVERY}) and cls_a <> cls_b"
-    met = a.join(b, "key").where(near).select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).distinct()
+    hot = counts.where(F.col("n") > max(HOT_LEAST, total // HOT)).select("key").toArrow()["key"].to_numpy()  # at most HOT keys
+    hot = np.sort(hot.view(np.uint64))
+    # held-out rows, about one for each place; a sieve of them has 8 to 16 bits a row
+    places = classes.where("held").agg(F.sum("n")).first()[0] or 0
+    bits = max(16, (16 * places).bit_length()) if places <= 1 << (SIEVE_BITS - 1) else 0
+    bits = min(bits, SIEVE_BITS)
+    held = written(classes.where("held").select("cls", "n", "code").mapInArrow(_layout(hot, bits), LAYOUT), "held")
+    sieve = None
+    if bits:
+        words_ = held.groupBy(F.shiftright("spot", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("spot").bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toArrow()  # at most 2 ** (SIEVE_BITS - 6) rows
+        table = np.zeros(1 << (bits - 6), np.uint64)
+        table[words_["w"].to_numpy()] = words_["b"].to_numpy().view(np.uint64)
+        sieve = classes.sparkSession.sparkContext.broadcast(table)
+    train = written(classes.where("train").select("cls", "n", "code").mapInArrow(_layout(hot, bits, sieve), LAYOUT), "train")
+    h = held.select("key", F.col("long").alias("side"), *(F.col(c).alias(f"{c}_h") for c in ("at", "cls", "n")))
+    t = train.select("key", (~F.col("long")).alias("side"), *(F.col(c).alias(f"{c}_t") for c in ("at", "cls", "n")))
+    longer, shorter = F.when(F.col("side"), F.col("n_h")).otherwise(F.col("n_t")), F.when(F.col("side"), F.col("n_t")).otherwise(F.col("n_h"))
+    edits = F.floor(longer / EDIT_EVERY)
+    near = (shorter <= longer) & (longer - shorter <= edits) & ((F.col("at_h") < 0) | (F.abs(F.col("at_h") - F.col("at_t")) <= edits)) & (F.col("cls_h") != F.col("cls_t"))
+    met = h.join(t, ["key", "side"]).where(near).select(F.least("cls_h", "cls_t").alias("cls_a"), F.greatest("cls_h", "cls_t").alias("cls_b")).distinct()
     one = classes.select(F.col("cls").alias("cls_a"), F.col("code").alias("code_a"), F.col("words").alias("words_a"), F.col("n").alias("n_a"))
     two = classes.select(F.col("cls").alias("cls_b"), F.col("code").alias("code_b"), F.col("words").alias("words_b"), F.col("n").alias("n_b"))
     close = (
@@ -229,36 +293,60 @@ def similar_classes(classes: DataFrame) -> DataFrame:
     return close.mapInArrow(_verified, "cls_a long, cls_b long, edits int, in_b double, in_a double")
 
 
-def same_files(rec: DataFrame) -> DataFrame:
-    """``(corpus, file, train_id, held_id)`` of :func:`records` with the same audio file name."""
+def file_classes(rec: DataFrame) -> DataFrame:
+    """``(sample_id, side, corpus, file, n_links)`` of :func:`records` whose audio file name stands in training and held-out splits alike.
+
+    ``n_links`` counts the records of the other side; pairs are not formed.
+    """
     files = rec.where("corpus is not null and file is not null").select("corpus", "file", "side", "sample_id").distinct()
-    train = files.where("side = 0").select("corpus", "file", F.col("sample_id").alias("train_id"))
-    held = files.where("side = 1").select("corpus", "file", F.col("sample_id").alias("held_id"))
-    return train.join(held, ["corpus", "file"])
+    size = files.groupBy("corpus", "file").agg(F.count("*").alias("rows"), F.sum("side").alias("n_held")).where("n_held > 0 and n_held < rows")
+    linked = hot_join(files, written(size, "files"), ["corpus", "file"])
+    return linked.select("sample_id", "side", "corpus", "file", F.when(F.col("side") == 0, F.col("n_held")).otherwise(F.col("rows") - F.col("n_held")).alias("n_links"))
 
 
-def overlaps(samples: DataFrame) -> DataFrame:
-    """``(train_id, held_id, kind, edits, containment)`` of all overlapping records.
+class Overlaps(NamedTuple):
+    """Classes of equal transcripts, their similar pairs, and records by class and by file."""
 
-    ``kind`` is ``file``, ``exact`` or ``near``; ``containment`` the share of the held-out
-    record's five-word runs that stand in the training record (null for ``file``).
-    """
+    #: ``(sample_id, side, cls)``
+    members: DataFrame
+    #: ``(t, h, edits, containment)``: similar classes, one of training and one of held-out records, in both directions
+    similar: DataFrame
+    #: as :func:`file_classes`
+    files: DataFrame
+
+
+def find(samples: DataFrame) -> Overlaps:
+    """All overlaps, by classes: records of one transcript or file are never paired here."""
     rec = records(samples)
     coded = written(rec.select("sample_id", "side", "transcript").mapInArrow(_coded, "sample_id long, side int, cls long, n int, code string, words string"), "coded")
     classes = coded.groupBy("cls").agg(
         F.first("n").alias("n"), F.first("code").alias("code"), F.first("words").alias("words"), F.bool_or(F.col("side") == 0).alias("train"), F.bool_or(F.col("side") == 1).alias("held")
     )
-    classes = written(classes, "classes")
-    members = coded.select("sample_id", "side", "cls").distinct()
-    train = members.where("side = 0").select("cls", F.col("sample_id").alias("train_id"))
-    held = members.where("side = 1").select("cls", F.col("sample_id").alias("held_id"))
-    pairs = written(similar_classes(classes), "similar")
+    pairs = written(similar_classes(written(classes, "classes")), "similar")
     directed = pairs.select(F.col("cls_a").alias("t"), F.col("cls_b").alias("h"), "edits", F.col("in_a").alias("containment")).union(
         pairs.select("cls_b", "cls_a", "edits", "in_b")
     )
+    return Overlaps(coded.select("sample_id", "side", "cls").distinct(), directed, written(file_classes(rec), "same-files"))
+
+
+def overlaps(samples: DataFrame) -> DataFrame:
+    """``(train_id, held_id, kind, edits, containment)`` of all overlapping records.
+
+    ``kind`` is ``file``, ``exact`` or ``near``; ``containment`` the share of the held-out
+    record's five-word runs that stand in the training record (null for ``file``). The pairs
+    of a large class are spread over tasks.
+    """
+    members, directed, files = find(samples)
+    members = written(members, "members")
+    train = members.where("side = 0").select("cls", F.col("sample_id").alias("train_id"))
+    held = members.where("side = 1").select("cls", F.col("sample_id").alias("held_id"))
     near = directed.join(train.withColumnRenamed("cls", "t"), "t").join(held.withColumnRenamed("cls", "h"), "h").select("train_id", "held_id", F.lit("near").alias("kind"), "edits", "containment")
-    exact = train.join(held, "cls").select("train_id", "held_id", F.lit("exact").alias("kind"), F.lit(0).alias("edits"), F.lit(1.0).alias("containment"))
-    file = same_files(rec).select("train_id", "held_id", F.lit("file").alias("kind"), F.lit(None).cast("int").alias("edits"), F.lit(None).cast("double").alias("containment"))
+    of = written(train.groupBy("cls").agg(F.count("*").alias("rows")), "class-sizes")
+    exact = salted_join(train, held, of, ["cls"]).select("train_id", "held_id", F.lit("exact").alias("kind"), F.lit(0).alias("edits"), F.lit(1.0).alias("containment"))
+    keys = ["corpus", "file"]
+    a, b = files.where("side = 0").select(*keys, F.col("sample_id").alias("train_id")), files.where("side = 1").select(*keys, F.col("sample_id").alias("held_id"))
+    of = written(files.where("side = 0").groupBy(*keys).agg(F.count("*").alias("rows")), "file-sizes")
+    file = salted_join(a, b, of, keys).select("train_id", "held_id", F.lit("file").alias("kind"), F.lit(None).cast("int").alias("edits"), F.lit(None).cast("double").alias("containment"))
     return near.union(exact).union(file)
 
 
@@ -267,7 +355,17 @@ def overlap_pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("train_id", "held_id").alias("sample_id_a"), F.greatest("train_id", "held_id").alias("sample_id_b")).where("sample_id_a <> sample_id_b").distinct()
 
 
-def overlap_report(found: DataFrame, samples: DataFrame) -> DataFrame:
-    """Held-out records with an overlap, per split, corpus and kind."""
-    names = records(samples).select(F.col("sample_id").alias("held_id"), "split", F.coalesce("corpus", F.lit("unknown")).alias("dataset_name")).where("split <> 'train'").distinct()
-    return found.select("held_id", "kind").distinct().join(names, "held_id").groupBy("split", "dataset_name", "kind").agg(F.count_distinct("held_id").alias("n_records"))
+def overlap_report(samples: DataFrame) -> DataFrame:
+    """Held-out records with an overlap, per split, corpus and kind; by classes, without forming pairs."""
+    names = records(samples).select("sample_id", "split", F.coalesce("corpus", F.lit("unknown")).alias("dataset_name")).where("split <> 'train'").distinct()
+    members, directed, files = find(samples)
+    members = written(members, "members")
+    held = members.where("side = 1")
+    size = written(members.groupBy("cls").agg(F.count_if(F.col("side") == 1).alias("rows"), F.count_if(F.col("side") == 0).alias("n_train")).where("rows > 0"), "held-classes")
+    exact = hot_join(held, size.where("n_train > 0"), ["cls"]).select("sample_id", F.lit("exact").alias("kind"))
+    # of both directions of a pair only those count that lead from a training class to a held-out one
+    trained = members.where("side = 0").select(F.col("cls").alias("t")).distinct()
+    near = directed.join(trained, "t").select(F.col("h").alias("cls")).distinct().join(size, "cls")
+    near = hot_join(held, written(near, "near-classes"), ["cls"]).select("sample_id", F.lit("near").alias("kind"))
+    found = exact.union(near).union(files.where("side = 1").select("sample_id", F.lit("file")))
+    return found.join(names, "sample_id").groupBy("split", "dataset_name", "kind").agg(F.count_distinct("sample_id").alias("n_records"))

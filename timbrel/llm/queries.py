@@ -46,14 +46,13 @@ def p3_found(spark, sf_dir):
 
 
 def p3_files(spark, sf_dir):
-    """Training and held-out records of one audio file."""
-    found = overlaps.same_files(overlaps.records(table(spark, sf_dir, "emotion_samples")))
-    return found.select("train_id", "held_id").distinct()
+    """Records of audio files that stand in training and held-out splits alike: their file class and its records on the other side."""
+    found = overlaps.file_classes(overlaps.records(table(spark, sf_dir, "emotion_samples")))
+    return found.select("sample_id", F.col("corpus").alias("dataset_name"), "file", "n_links").distinct()
 
 
 def p3_report(spark, sf_dir):
-    samples = table(spark, sf_dir, "emotion_samples")
-    return overlaps.overlap_report(overlaps.overlaps(samples), samples)
+    return overlaps.overlap_report(table(spark, sf_dir, "emotion_samples"))
 
 
 def p4_found(spark, sf_dir):

@@ -66,7 +66,9 @@ SQL = {
     + """select dataset_name, categorical_emotion from target_shares t
       where (select count(*) from s where s.corpus = t.dataset_name and s.category = t.categorical_emotion) < greatest(min_rows, round(target_share * sample_rows))""",
     "p3_files": _SAMPLES.replace("from emotion_samples where", r""", nullif(regexp_replace(lower(regexp_extract(regexp_replace(audio_path, '^\s+|\s+$', '', 'g'), '([^/\\]*)$', 1)), '[.](wav|flac|mp3)$', ''), '') as file from emotion_samples where""")
-    + """select distinct t.sample_id as train_id, h.sample_id as held_id from s t join s h on t.corpus = h.corpus and t.file = h.file and t.part = 'train' and h.part in ('val', 'test')""",
+    + """, f as (select distinct sample_id, corpus, file, part = 'train' as t from s where corpus is not null and file is not null and part is not null),
+      n as (select *, count(*) filter (t) over w as n_train, count(*) filter (not t) over w as n_held from f window w as (partition by corpus, file))
+      select distinct sample_id, corpus as dataset_name, file, case when t then n_held else n_train end as n_links from n where n_train > 0 and n_held > 0""",
     "p5_found": _SAMPLES
     + """select corpus as dataset_name, speaker as speaker_id from s
       where corpus is not null and part is not null and speaker not in ('', 'unknown', 'n/a') group by 1, 2 having count(distinct part) > 1""",

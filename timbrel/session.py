@@ -54,11 +54,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table of :func:`written`, once nothing lazy reads it any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._timbrel_path)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files behind tables of :func:`written`, once nothing lazy reads them any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_timbrel_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def finished(df: DataFrame, label: str, *tables: DataFrame | None) -> DataFrame:
+    """``df`` written, and the intermediate ``tables`` it came from deleted."""
+    out = written(df, label)
+    discard(*tables)
+    return out
 
 
 def bounded(df: DataFrame, max_rows: int) -> DataFrame:

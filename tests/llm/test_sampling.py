@@ -67,6 +67,13 @@ def test_report_and_sample(spark):
     assert sorted(map(tuple, drawn)) != sorted(map(tuple, M.draw(s, t, seed=1).collect()))
 
 
+def test_the_sample_does_not_depend_on_how_many_are_sorted(spark, monkeypatch):
+    s, t = frames(spark)
+    want = sorted(map(tuple, M.draw(s, t).collect()))
+    monkeypatch.setattr(M, "MAX_SORTED", 0)
+    assert sorted(map(tuple, M.draw(s, t).collect())) == want
+
+
 def test_empty(spark):
     s, t = frames(spark)
     assert M.draw(s.limit(0), t).count() == 0 and M.draw(s, t.limit(0)).count() == 0

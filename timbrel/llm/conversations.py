@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from timbrel.llm.graph import star_components
 from timbrel.operators.skew import hot_join
-from timbrel.session import written
+from timbrel.session import finished, written
 
 CONTEXT = 3
 #: Words from which a stretch of turns tells its conversation, speakers' names included.
@@ -119,7 +119,8 @@ def broken_conversations(messages: DataFrame, samples: DataFrame) -> DataFrame:
     out = out.union(absent.select("conv", F.lit("missing_turn")))
     length = records.where(F.col("gap") | (F.col("held") != F.least(F.col("turn"), F.lit(CONTEXT))))
     out = out.union(length.select("conv", F.lit("context")))
-    return out.union(placed.where("there is null").select("conv", F.lit("context"))).distinct()
+    out = out.union(placed.where("there is null").select("conv", F.lit("context"))).distinct()
+    return finished(out, "reasons", t, per_turn, size, records, placed, component)
 
 
 def conversations(messages: DataFrame, samples: DataFrame) -> DataFrame:
@@ -176,7 +177,9 @@ def assemble_quoting(samples: DataFrame, least_words: int = STRETCH_WORDS) -> Da
 
     stretches = F.array_compact(F.transform(F.sequence(F.lit(0), F.size("t") - 1), shortest))
     links = rec.select("message", F.explode(stretches).alias("s")).select("message", F.xxhash64(F.lit("stretch"), "s").alias("stretch"))
-    found = rec.join(star_components(links, "message", "stretch"), F.col("message") == F.col("node"), "left")
+    component = star_components(links, "message", "stretch")
+    found = rec.join(component, F.col("message") == F.col("node"), "left")
     found = written(found.select("sample_id", F.coalesce("component", "message").alias("conversation"), F.col("n").alias("n_before")), "assembled")
     size = written(found.groupBy("conversation").agg(F.count("*").alias("rows")), "assembled-sizes")
-    return hot_join(found, size, ["conversation"]).select("sample_id", "conversation", "n_before", F.col("rows").alias("n_records"))
+    out = hot_join(found, size, ["conversation"]).select("sample_id", "conversation", "n_before", F.col("rows").alias("n_records"))
+    return finished(out, "conversations", rec, component, found, size)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timbrel.operators.skew import hot_join
-from timbrel.session import cut
+from timbrel.session import finished, written
 
 MAX_ROUNDS = 60
 
@@ -28,23 +30,23 @@ def star_components(links: DataFrame, src: str = "src", dst: str = "dst") -> Dat
 
     Links to itself, repeated and null links are ignored; no link gives no row.
     """
-    edges = cut(
-        links.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).distinct()
+    edges = written(
+        links.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).distinct(), "edges"
     )
     for _ in range(MAX_ROUNDS):
         if _settled(edges):
             break
         # large-star: over both directions, larger neighbours go to the smallest of the neighbourhood
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("rows"))
-        large = cut(hot_join(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("rows")), "low")
+        large = finished(hot_join(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", edges, low)
         # small-star: smaller neighbours and the node itself go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")), "low")
         small = hot_join(large, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        edges = finished(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges", large, low)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v")).distinct()
+    return finished(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v")).distinct(), "stars", edges)
 
 
 def frontier_components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -57,30 +59,33 @@ def frontier_components(links: DataFrame, src: str = "src", dst: str = "dst") ->
     labels is merged by :func:`star_components`.
     """
     one = links.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    adjacent = cut(one.union(one.select("v", "u")).distinct().repartition("u"))
+    adjacent = written(one.union(one.select("v", "u")).distinct().repartition("u"), "adjacent")
     rank = F.xxhash64
     least = adjacent.groupBy("u").agg(F.min(F.struct(rank("v").alias("h"), F.col("v").alias("v"))).alias("n"), F.count("*").alias("rows"))
-    degree = cut(least.select(F.col("u").alias("node"), "rows", (F.struct(rank("u").alias("h"), F.col("u").alias("v")) < F.col("n")).alias("seed")))
-    visited = cut(degree.where("seed").select("node", F.col("node").alias("label"), "rows"))
-    frontier = visited
-    meetings = None
+    degree = written(least.select(F.col("u").alias("node"), "rows", (F.struct(rank("u").alias("h"), F.col("u").alias("v")) < F.col("n")).alias("seed")), "degree")
+    frontier = written(degree.where("seed").select("node", F.col("node").alias("label"), "rows"), "visited")
+    parts, meetings = [frontier], []
+    visited = frontier
     for _ in range(MAX_ROUNDS):
         if frontier.isEmpty():
             break
-        reached = cut(hot_join(adjacent, frontier.select(F.col("node").alias("u"), "label", "rows"), ["u"]).select(F.col("v").alias("node"), "label").distinct())
+        reached = written(hot_join(adjacent, frontier.select(F.col("node").alias("u"), "label", "rows"), ["u"]).select(F.col("v").alias("node"), "label").distinct(), "reached")
         # a node reached by several labels joins them; one reached before joins its own with the new
         first = reached.groupBy("node").agg(F.min("label").alias("low"), F.count("*").alias("rows"))
         old = visited.select("node", F.col("label").alias("own"))
-        held = cut(first.join(old, "node", "left").select("node", "rows", F.coalesce("own", "low").alias("own"), F.col("own").isNull().alias("fresh")))
+        held = written(first.join(old, "node", "left").select("node", "rows", F.coalesce("own", "low").alias("own"), F.col("own").isNull().alias("fresh")), "held")
         several = held.where("rows > 1 or not fresh").select("node", "own", "rows")
-        met = hot_join(reached, several, ["node"]).where("label <> own").select(F.least("label", "own").alias("src"), F.greatest("label", "own").alias("dst")).distinct()
-        meetings = met if meetings is None else meetings.union(met)
-        frontier = cut(held.where("fresh").select("node", F.col("own").alias("label")).join(degree.select("node", "rows"), "node"))
+        meetings.append(written(hot_join(reached, several, ["node"]).where("label <> own").select(F.least("label", "own").alias("src"), F.greatest("label", "own").alias("dst")).distinct(), "meetings"))
+        frontier = finished(held.where("fresh").select("node", F.col("own").alias("label")).join(degree.select("node", "rows"), "node"), "visited", reached, held)
+        parts.append(frontier)
         visited = visited.union(frontier)
     else:
         raise RuntimeError(f"the search did not end in {MAX_ROUNDS} rounds")
-    if meetings is None:
-        return visited.select("node", F.col("label").alias("component"))
-    merged = star_components(meetings).select(F.col("node").alias("label"), "component")
+    if not meetings:
+        return finished(visited.select("node", F.col("label").alias("component")), "components", adjacent, degree, *parts)
+    stars = star_components(reduce(DataFrame.union, meetings))
+    merged = stars.select(F.col("node").alias("label"), "component")
     size = visited.groupBy("label").agg(F.count("*").alias("rows")).join(merged, "label", "left")
-    return hot_join(visited.select("node", "label"), cut(size.select("label", F.coalesce("component", "label").alias("component"), "rows")), ["label"]).select("node", "component")
+    size = written(size.select("label", F.coalesce("component", "label").alias("component"), "rows"), "labels")
+    found = hot_join(visited.select("node", "label"), size, ["label"]).select("node", "component")
+    return finished(found, "components", adjacent, degree, stars, size, *parts, *meetings)

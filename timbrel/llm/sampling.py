@@ -6,7 +6,7 @@ the floors is repaired by swaps, each of which moves as many records as help fro
 signature most above its target to the one most below, until no swap lowers the total
 deviation. The counts are then drawn from the records: each has a random number fixed
 by seed and id, and a signature gets those with the smallest ones. Their cut-off comes
-from a histogram, so no signature, however large, is sorted in one task.
+from histograms, so no signature, however large, is sorted in one task.
 
 The floors come first: they may push other signatures below their targets, and floors
 that exceed the sample together are lowered in proportion, so that no more than the wanted
@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timbrel.llm import fields
+from timbrel.session import written
 
 SEED = 20240229
-BUCKETS = 4096
+#: Bits of a pass of the search for a cut-off, passes at most, and rows among which the last place is found by sorting them.
+BITS, LEVELS, MAX_SORTED = 12, 5, 100_000
 #: Target rows that are brought to the driver; more than any label vocabulary has.
 MAX_TARGETS = 100_000
 
@@ -127,13 +129,23 @@ def report(samples: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFram
 def draw(samples: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     """``(sample_id, dataset_name, categorical_emotion)`` of the sample."""
     keys = ["dataset_name", "categorical_emotion"]
-    quota = samples.sparkSession.createDataFrame([(r[0], r[1], r[5]) for r in plan(samples, targets, seed)], "dataset_name string, categorical_emotion string, drawn long")
-    ranked = signatures(samples).join(F.broadcast(quota), keys).withColumn("h", F.xxhash64(F.lit(seed), "sample_id"))
-    ranked = ranked.withColumn("bucket", F.shiftrightunsigned("h", 52).cast("int"))  # BUCKETS of them
-    histogram = ranked.groupBy(*keys, "drawn", "bucket").agg(F.count("*").alias("n"))
-    upto = histogram.selectExpr(*keys, "drawn", "bucket", "n", "sum(n) over (partition by dataset_name, categorical_emotion order by bucket) as upto")
-    need = upto.where("upto - n < drawn").select(*keys, "bucket", (F.col("drawn") - F.col("upto") + F.col("n")).alias("open"), "n")
-    held = ranked.select("sample_id", *keys, "bucket", "h").join(F.broadcast(need), [*keys, "bucket"])
-    whole = held.where("open >= n").select("sample_id", *keys)
-    rest = held.where("open < n").selectExpr("*", "row_number() over (partition by dataset_name, categorical_emotion, bucket order by h, sample_id) as r")
+    plan_ = plan(samples, targets, seed)
+    quota = samples.sparkSession.createDataFrame([(r[0], r[1], r[5]) for r in plan_], "dataset_name string, categorical_emotion string, drawn long")
+    ranked = signatures(samples).join(F.broadcast(quota.where("drawn > 0")), keys).withColumn("u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "sample_id"), 4))
+    ranked = written(ranked, "ranked")
+    # the cut-off of each signature, twelve bits at a time: prefixes below ``p`` are drawn whole, ``open`` rows with it
+    kind = "dataset_name string, categorical_emotion string, p long, open long"
+    cuts = ranked.sparkSession.createDataFrame([(r[0], r[1], 0, r[5]) for r in plan_ if r[5]], kind)
+    for level in range(1, LEVELS + 1):
+        left = BITS * (LEVELS - level)
+        inside = ranked.join(F.broadcast(cuts), keys).where(F.shiftright("u", left + BITS) == F.col("p"))
+        histogram = inside.groupBy(*keys, "open", F.shiftright("u", left).alias("p")).agg(F.count("*").alias("n"))
+        upto = histogram.selectExpr("*", "sum(n) over (partition by dataset_name, categorical_emotion order by p) as upto")
+        met = upto.where("upto >= open and upto - n < open").select(*keys, "p", (F.col("open") - F.col("upto") + F.col("n")).alias("open"), "n").collect()  # one row per signature
+        cuts = ranked.sparkSession.createDataFrame([tuple(r)[:4] for r in met], kind)
+        if max((r.n for r in met), default=0) <= MAX_SORTED:
+            break
+    held = ranked.join(F.broadcast(cuts), keys).withColumn("own", F.shiftright("u", left)).where("own <= p")
+    whole = held.where("own < p").select("sample_id", *keys)
+    rest = held.where("own = p").selectExpr("*", "row_number() over (partition by dataset_name, categorical_emotion order by u, sample_id) as r")
     return whole.union(rest.where("r <= open").select("sample_id", *keys))

@@ -344,12 +344,7 @@ def document_pairs(docs: DataFrame, min_chars: int = MIN_CHARS, max_group: int =
     copies = written(members.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1"), "copies")
     held = written(hot_join(members, copies, keys).select(*keys, "doc_id"), "copied")
     alike = salted_join(held.withColumnRenamed("doc_id", "x"), held.withColumnRenamed("doc_id", "y"), copies, keys).where("x < y").select("x", "y")
-    return (
-        unlike.union(alike)
-        .where("x <> y")
-        .select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
-        .distinct()
-    )
+    return unlike.union(alike).where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
 
 def shared_share(docs: DataFrame, min_chars: int = MIN_CHARS, max_group: int = MAX_GROUP) -> DataFrame:

@@ -27,7 +27,7 @@ from timbrel.llm import fields
 from timbrel.llm.graph import frontier_components
 from timbrel.llm.overlaps import file_key
 from timbrel.operators.skew import hot_join
-from timbrel.session import written
+from timbrel.session import discard, finished, written
 
 SEED = 7
 BUCKETS = 4096
@@ -84,7 +84,7 @@ def torn_speakers(samples: DataFrame) -> DataFrame:
     own = written(own.withColumn("held", F.concat("present", F.lit(" of "), "spelling")), "held")
     found = frontier_components(own.select(F.col("held").alias("src"), F.col("spelling").alias("dst")).union(own.select("spelling", "speaker").distinct()))
     torn = own.join(found, F.col("held") == F.col("node")).groupBy("component").agg(F.max(F.struct("dataset_name", "speaker_id")).alias("name"), F.array_sort(F.collect_set("present")).alias("splits"))  # at most one entry a split
-    return torn.where("size(splits) > 1").select("name.dataset_name", "name.speaker_id", "splits")
+    return finished(torn.where("size(splits) > 1").select("name.dataset_name", "name.speaker_id", "splits"), "torn", own, found)
 
 
 def _targets(targets: DataFrame) -> list[tuple[str, float]]:
@@ -96,9 +96,9 @@ def assign(samples: DataFrame, targets: DataFrame, keys: list[str] | None = None
     """``(sample_id, component, new_split)`` of every record with a known present split."""
     spark = samples.sparkSession
     keys = keys or ["spelling", "speaker"]
-    rec = written(records(samples).select("sample_id", *keys), "records")
-    rec = written(components(rec, keys).select("sample_id", "component"), "components")
-    size = written(rec.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+    held = written(records(samples).select("sample_id", *keys), "records")
+    rec = finished(components(held, keys).select("sample_id", "component"), "components", held)
+    size = written(rec.groupBy("component").agg(F.count("*").alias("n")), "sizes")  # read by the driver alone
     total = size.agg(F.sum("n")).first()[0] or 0
     goal = dict(_targets(targets))
     scale = sum(goal.values()) or 1.0
@@ -110,6 +110,7 @@ def assign(samples: DataFrame, targets: DataFrame, keys: list[str] | None = None
         placed.append((r.component, k))
     bucket = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "component"), 52).cast("int")
     histogram = size.where(F.col("n") <= large).groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).orderBy("bucket").collect()  # at most BUCKETS rows
+    discard(size)
     rest = {k: max(v, 0.0) for k, v in missing.items()}
     scale = sum(rest.values()) or 1.0
     small = sum(r.n for r in histogram)

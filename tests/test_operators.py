@@ -211,3 +211,15 @@ def test_mock_samples_are_stable(spark):
     df = spark.createDataFrame([("a", "p"), ("b", "q")], "id string, prompt string")
     a, b = (sorted(map(tuple, generator.generate(df, "id", "prompt", k=3).collect())) for _ in range(2))
     assert a == b and len(a) == 6
+
+
+def test_outer_white_space_is_what_unicode_counts(spark):
+    import sys
+
+    from timbrel.functions.columns import WHITE_SPACE, outer
+
+    assert {c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()} - set(WHITE_SPACE) == set("\x1c\x1d\x1e\x1f") and all(c.isspace() for c in WHITE_SPACE)
+    df = spark.createDataFrame([(f"{c}a {c} b{c}{c}",) for c in WHITE_SPACE] + [("",), (WHITE_SPACE,), (None,), ("\u200b x",)], "t string")
+    got = [r[0] for r in df.select(outer("t")).collect()]
+    assert got[-4:] == ["", "", None, "\u200b x"] and all(x == f"a {c} b" for x, c in zip(got, WHITE_SPACE))
+    assert df.where(F.regexp_replace("t", r"(?U)^\s+|\s+$", "") != outer("t")).count() == 0

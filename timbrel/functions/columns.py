@@ -20,9 +20,13 @@ def clamp(c, low: float = rubric.LOW, high: float = rubric.HIGH) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
+#: The characters that Unicode counts as white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def outer(c) -> Column:
     """Without outer white space of any kind, Unicode's included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(WHITE_SPACE))
 
 
 def corpus_name(c="dataset_name") -> Column:

@@ -70,6 +70,12 @@ def finished(df: DataFrame, label: str, *tables: DataFrame | None) -> DataFrame:
     return out
 
 
+def standing_on(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, which reads the written ``table`` and is discarded with it."""
+    df._timbrel_path = table._timbrel_path
+    return df
+
+
 def bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` marked for a broadcast if it has at most ``max_rows`` rows, as it is otherwise."""
     return F.broadcast(df) if is_small(df, max_rows) else df

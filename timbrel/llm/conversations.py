@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timbrel.functions.columns import corpus_name, outer
 from timbrel.llm.graph import star_components
 from timbrel.operators.skew import hot_join
 from timbrel.session import finished, written
@@ -39,10 +40,6 @@ def _squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-def _outer(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
 def _quote_key(c: Column) -> Column:
     """Hash of ``[speaker] text`` regardless of letter case and extra white space."""
     return F.xxhash64(F.lower(F.regexp_replace(_squeezed(c), r"^\[ ?(.*?) ?\] ?", "[$1] ")))
@@ -50,21 +47,20 @@ def _quote_key(c: Column) -> Column:
 
 def turns(messages: DataFrame) -> DataFrame:
     """One row per turn and version: keys, normalised speaker and text as hashes, and the quotation key."""
-    speaker, text = F.lower(_outer("speaker")), _squeezed("utterance")
+    speaker, text = F.lower(outer("speaker")), _squeezed("utterance")
     return messages.where("dialogue_id is not null").select(
         F.col("dialogue_id").cast("long").alias("conv"),
         F.col("utterance_id").cast("long").alias("turn"),
         F.when(F.length(speaker) > 0, F.xxhash64(speaker)).alias("speaker_key"),
         F.when(F.length(text) > 0, F.xxhash64(text)).alias("text_key"),
-        _quote_key(F.concat(F.lit("["), F.coalesce(_outer("speaker"), F.lit("")), F.lit("] "), F.coalesce("utterance", F.lit("")))).alias("quote_key"),
+        _quote_key(F.concat(F.lit("["), F.coalesce(outer("speaker"), F.lit("")), F.lit("] "), F.coalesce("utterance", F.lit("")))).alias("quote_key"),
     ).distinct()
 
 
 def quoting_records(samples: DataFrame) -> DataFrame:
     """``(conv, turn, context_turns)`` of the dialogue corpus' records, from ids like ``dia12_utt3``."""
-    name = F.regexp_replace(F.lower(F.col("dataset_name")), r"(?U)[\s_-]+", "")
     number = lambda i: F.expr(f"try_cast(regexp_extract(trim(utterance_id), '^dia([0-9]+)_utt([0-9]+)$', {i}) as bigint)")
-    return samples.where(name == "meld").select(number(1).alias("conv"), number(2).alias("turn"), "context_turns").where("conv is not null and turn is not null")
+    return samples.where(corpus_name() == "meld").select(number(1).alias("conv"), number(2).alias("turn"), "context_turns").where("conv is not null and turn is not null")
 
 
 #: Turn numbers below this, of conversations from 0 to ``MAX_PLAIN``, make exact node ids; other nodes are hashed, below 0.
@@ -131,7 +127,7 @@ def conversations(messages: DataFrame, samples: DataFrame) -> DataFrame:
     """
     bad = written(broken_conversations(messages, samples).select("conv").distinct(), "broken")
     rows = messages.where("dialogue_id is not null").select(
-        F.col("dialogue_id").cast("long").alias("conv"), F.col("utterance_id").cast("long").alias("turn"), F.initcap(F.lower(_outer("speaker"))).alias("speaker"), _squeezed("utterance").alias("text")
+        F.col("dialogue_id").cast("long").alias("conv"), F.col("utterance_id").cast("long").alias("turn"), F.initcap(F.lower(outer("speaker"))).alias("speaker"), _squeezed("utterance").alias("text")
     )
     rows = written(rows.distinct(), "rows")
     # a conversation's rows are its speakers' rows, so the small table of speakers is sieved
@@ -163,11 +159,10 @@ def assemble_quoting(samples: DataFrame, least_words: int = STRETCH_WORDS) -> Da
     of quoted turns (three stands for three or more). A record that shares no stretch is a
     conversation of its own; a repeated id counts once, with its longest quotation.
     """
-    name = F.regexp_replace(F.lower(F.col("dataset_name")), r"(?U)[\s_-]+", "")
     turn = lambda c: F.struct(_quote_key(c).alias("k"), F.size(F.split(_squeezed(c), " ")).alias("w"))
-    said = F.concat(F.lit("["), F.coalesce(_outer("speaker_id"), F.lit("")), F.lit("] "), F.coalesce("transcript", F.lit("")))
+    said = F.concat(F.lit("["), F.coalesce(outer("speaker_id"), F.lit("")), F.lit("] "), F.coalesce("transcript", F.lit("")))
     context = F.filter(F.coalesce("context_turns", F.array().cast("array<string>")), lambda x: x.isNotNull())
-    rec = samples.where((name == "meld") & F.col("sample_id").isNotNull()).select(F.col("sample_id").cast("long").alias("sample_id"), F.size(context).alias("n"), F.transform(F.array_append(context, said), turn).alias("t"))
+    rec = samples.where((corpus_name() == "meld") & F.col("sample_id").isNotNull()).select(F.col("sample_id").cast("long").alias("sample_id"), F.size(context).alias("n"), F.transform(F.array_append(context, said), turn).alias("t"))
     rec = written(rec.groupBy("sample_id").agg(F.max(F.struct("n", "t")).alias("r")).select("sample_id", "r.n", "r.t").withColumn("message", F.xxhash64(F.lit("message"), "sample_id")), "messages")
 
     def shortest(i):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timbrel.operators.skew import hot_join
-from timbrel.session import finished, written
+from timbrel.session import finished, standing_on, written
 
 MAX_ROUNDS = 60
 
@@ -46,7 +46,8 @@ def star_components(links: DataFrame, src: str = "src", dst: str = "dst") -> Dat
         edges = finished(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges", large, low)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return finished(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v")).distinct(), "stars", edges)
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+    return standing_on(out, edges)
 
 
 def frontier_components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -75,9 +76,9 @@ def frontier_components(links: DataFrame, src: str = "src", dst: str = "dst") ->
         old = visited.select("node", F.col("label").alias("own"))
         held = written(first.join(old, "node", "left").select("node", "rows", F.coalesce("own", "low").alias("own"), F.col("own").isNull().alias("fresh")), "held")
         several = held.where("rows > 1 or not fresh").select("node", "own", "rows")
-        meetings.append(written(hot_join(reached, several, ["node"]).where("label <> own").select(F.least("label", "own").alias("src"), F.greatest("label", "own").alias("dst")).distinct(), "meetings"))
-        frontier = finished(held.where("fresh").select("node", F.col("own").alias("label")).join(degree.select("node", "rows"), "node"), "visited", reached, held)
-        parts.append(frontier)
+        meetings.append(hot_join(reached, several, ["node"]).where("label <> own").select(F.least("label", "own").alias("src"), F.greatest("label", "own").alias("dst")).distinct())
+        frontier = written(held.where("fresh").select("node", F.col("own").alias("label")).join(degree.select("node", "rows"), "node"), "visited")
+        parts += [frontier, reached, held]
         visited = visited.union(frontier)
     else:
         raise RuntimeError(f"the search did not end in {MAX_ROUNDS} rounds")
@@ -88,4 +89,4 @@ def frontier_components(links: DataFrame, src: str = "src", dst: str = "dst") ->
     size = visited.groupBy("label").agg(F.count("*").alias("rows")).join(merged, "label", "left")
     size = written(size.select("label", F.coalesce("component", "label").alias("component"), "rows"), "labels")
     found = hot_join(visited.select("node", "label"), size, ["label"]).select("node", "component")
-    return finished(found, "components", adjacent, degree, stars, size, *parts, *meetings)
+    return finished(found, "components", adjacent, degree, stars, size, *parts)

@@ -298,7 +298,7 @@ def file_classes(rec: DataFrame) -> DataFrame:
 
     ``n_links`` counts the records of the other side; pairs are not formed.
     """
-    files = rec.where("corpus is not null and file is not null").select("corpus", "file", "side", "sample_id").distinct()
+    files = written(rec.where("corpus is not null and file is not null").select("corpus", "file", "side", "sample_id").distinct(), "named-files")
     size = files.groupBy("corpus", "file").agg(F.count("*").alias("rows"), F.sum("side").alias("n_held")).where("n_held > 0 and n_held < rows")
     linked = hot_join(files, written(size, "files"), ["corpus", "file"])
     return linked.select("sample_id", "side", "corpus", "file", F.when(F.col("side") == 0, F.col("n_held")).otherwise(F.col("rows") - F.col("n_held")).alias("n_links"))

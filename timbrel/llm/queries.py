@@ -85,6 +85,12 @@ def p7_found(spark, sf_dir):
     return consensus.unreliable(consensus.agreement(table(spark, sf_dir, "vad_annotations")))
 
 
+def p7_agreement(spark, sf_dir):
+    """Every person's correlations with the others, out of the first product of the agreement matrix."""
+    r = consensus.agreement(table(spark, sf_dir, "vad_annotations"))
+    return r.select("annotator_id", "n_shared", *(F.round(c, 6).alias(c) for c in ("r_valence", "r_arousal")))
+
+
 def p7_reliability(spark, sf_dir):
     r = consensus.reliability(table(spark, sf_dir, "vad_annotations"))
     return r.select("annotator_id", "n_shared", *(F.round(c, 6).alias(c) for c in ("r_valence", "r_arousal", "reliability")))
@@ -104,9 +110,8 @@ def p8_round_trip(spark, sf_dir):
 
 
 def p8_offsets(spark, sf_dir):
-    """Token count, and code points that the tokens' ranges cover, of each document."""
-    ids = tokens.encode_with_offsets(table(spark, sf_dir, "documents"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.coalesce(F.array_max("ends"), F.lit(0)).cast("long").alias("n_covered"))
+    """Token ids of each document, and the code points that each token touches."""
+    return tokens.encode_with_offsets(table(spark, sf_dir, "documents"))
 
 
 def p9_found(spark, sf_dir):
@@ -126,7 +131,7 @@ def p10_shared(spark, sf_dir):
     return spans.shared_share(table(spark, sf_dir, "documents"))
 
 
-_ALL = (p1_found, p1_reasons, p1_conversations, p1_assembled, p2_found, p2_report, p2_sample, p3_found, p3_files, p3_report, p4_found, p4_all_types, p5_found, p5_split, p5_split_linked, p5_report, p7_found, p7_reliability, p7_consensus, p8_ids, p8_round_trip, p8_offsets, p9_found, p9_report, p10_found, p10_shared)
+_ALL = (p1_found, p1_reasons, p1_conversations, p1_assembled, p2_found, p2_report, p2_sample, p3_found, p3_files, p3_report, p4_found, p4_all_types, p5_found, p5_split, p5_split_linked, p5_report, p7_found, p7_agreement, p7_reliability, p7_consensus, p8_ids, p8_round_trip, p8_offsets, p9_found, p9_report, p10_found, p10_shared)
 
 
 def queries() -> dict:

@@ -62,6 +62,10 @@ c as (
 SQL = {
     "p1_found": _TURNS + "select distinct conv as dialogue_id from bad",
     "p1_reasons": _TURNS + "select conv as dialogue_id, reason from bad",
+    "p1_conversations": _TURNS
+    + """, r as (select distinct conv, turn, array_to_string(list_transform(string_split(spk, ' '), lambda x: upper(x[1]) || x[2:]), ' ') as speaker, txt as text from t where conv not in (select conv from bad)),
+      f as (select conv, speaker, min(turn) as first from r group by 1, 2), g as (select conv, speaker, 'speaker_' || row_number() over (partition by conv order by first, speaker) as role from f)
+      select conv as dialogue_id, turn, role, speaker, text from r join g using (conv, speaker)""",
     "p2_found": _SAMPLES
     + """select dataset_name, categorical_emotion from target_shares t
       where (select count(*) from s where s.corpus = t.dataset_name and s.category = t.categorical_emotion) < greatest(min_rows, round(target_share * sample_rows))""",
@@ -73,5 +77,6 @@ SQL = {
     + """select corpus as dataset_name, speaker as speaker_id from s
       where corpus is not null and part is not null and speaker not in ('', 'unknown', 'n/a') group by 1, 2 having count(distinct part) > 1""",
     "p7_found": _RATINGS + "select person as annotator_id from c where n >= 30 and (rv + ra) / 2 < 0.35",
+    "p7_agreement": _RATINGS + "select person as annotator_id, n as n_shared, round(rv, 6) as r_valence, round(ra, 6) as r_arousal from c",
     "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents",
 }

@@ -279,10 +279,12 @@ f as (select line_id, case when contains(t, ';') then string_split(t, ';') when
 p as (select regexp_replace(f[1], '^\s+|\s+$', '', 'g') as utterance_id, regexp_replace(f[2], '^\s+|\s+$', '', 'g') as partition from f where len(f) >= 2
   qualify row_number() over (partition by regexp_replace(f[1], '^\s+|\s+$', '', 'g') order by line_id desc) = 1)
 """
+#: A test for NaN that column statistics cannot undo.
+RATED = "valence::varchar <> 'nan' and arousal::varchar <> 'nan'"
 _PERSON = f"nullif(upper({_outer('annotator_id')}), '')"
 _RATED = f"""s as (select utterance_id, min(emotion_raw_label) as emotion_raw_label from (select *, {_CORPUS} as corpus from emotion_samples) where corpus = 'msp_podcast' group by 1),
-      a as (select *, {_PERSON} as person, case when dominance between 1 and 7 then dominance end as d from {VA}
-        where dataset_name = 'msp_podcast' and valence between 1 and 7 and arousal between 1 and 7 and utterance_id is not null and {_PERSON} is not null),
+      a as (select *, {_PERSON} as person, case when dominance::varchar <> 'nan' and dominance between 1 and 7 then dominance end as d from {VA}
+        where dataset_name = 'msp_podcast' and {RATED} and valence between 1 and 7 and arousal between 1 and 7 and utterance_id is not null and {_PERSON} is not null),
       l as (select * from a qualify row_number() over (partition by utterance_id, person order by labelled_at desc nulls last, loaded_at desc nulls last, valence desc, arousal desc, d desc nulls last) = 1),
       m as (select utterance_id, avg(valence) as v, avg(arousal) as a, avg(d) as d, count(*) as n_annotators from l group by 1 having count(*) >= 3)"""
 _JOINED = _RATED + f""", t as (select utterance_id, max(upper(left({_outer('raw_split')}, 1)) || lower(substr({_outer('raw_split')}, 2))) as partition

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from timbrel.functions import columns as C
 from timbrel.operators import samples, sft
-from timbrel.plans.corpus import _CORPUS, _LABELS, _outer
+from timbrel.plans.corpus import _CORPUS, _LABELS, RATED, _outer
 from timbrel.rubric import NAMES
 from timbrel.session import shared_dir, table
 from timbrel.sources import corpora
@@ -136,8 +136,8 @@ SQL = {
         coalesce(l.v, 'other') as categorical_emotion, e as emotion_raw_label, f as sentiment, n_speakers, length from c join n on d = dialogue_id left join {_LABELS} l(ds, k, v) on l.ds = 'meld' and l.k = e""",
     "read_podcast": f"""with s as (select utterance_id, coalesce(min(emotion_raw_label), '') as label, max(upper(left({_outer('raw_split')}, 1)) || lower(substr({_outer('raw_split')}, 2))) as p
         from (select *, {_CORPUS} as corpus, split as raw_split from emotion_samples) where corpus = 'msp_podcast' and utterance_id is not null group by 1),
-      a as (select *, nullif(upper({_outer('annotator_id')}), '') as person, case when dominance between 1 and 7 then dominance end as d from (select *, {_CORPUS} as corpus from vad_annotations)
-        where corpus = 'msp_podcast' and utterance_id is not null and valence between 1 and 7 and arousal between 1 and 7),
+      a as (select *, nullif(upper({_outer('annotator_id')}), '') as person, case when dominance::varchar <> 'nan' and dominance between 1 and 7 then dominance end as d from (select *, {_CORPUS} as corpus from vad_annotations)
+        where corpus = 'msp_podcast' and utterance_id is not null and {RATED} and valence between 1 and 7 and arousal between 1 and 7),
       l as (select * from a where person is not null qualify row_number() over (partition by utterance_id, person order by labelled_at desc nulls last, loaded_at desc nulls last, valence desc, arousal desc, d desc nulls last) = 1),
       m as (select utterance_id, avg(valence) as v, avg(d) as d, count(*) as n from l group by 1 having count(*) >= 3),
       x as (select utterance_id, count(*) as k, sum(1 + (valence - 1) * 4 / 6) as t from a group by 1)

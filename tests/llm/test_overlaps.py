@@ -90,3 +90,31 @@ def test_files_splits_and_odd_rows(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert O.overlaps(df).count() == 0 and O.overlap_report(df).count() == 0
+
+
+def test_disk_holds_no_texts_and_no_table_that_is_done_with(spark, monkeypatch):
+    from pathlib import Path
+
+    stored, here = {}, Path(O.written(spark.range(1), "here")._timbrel_path.removeprefix("file:")).parent
+    old = set(here.iterdir())
+    write = O.written
+    monkeypatch.setattr(O, "written", lambda df, label: stored.setdefault(label, df) and write(df, label))
+    rows = build(1)
+    assert O.overlap_pairs(O.overlaps(spark.createDataFrame(rows, SCHEMA))).count()
+    assert not any({"words", "code_a", "words_a"} & set(df.columns) for label, df in stored.items() if label != "texts")
+    left = {x.name.split("-", 1)[1].rsplit("-", 1)[0] for x in set(here.iterdir()) - old}
+    assert "similar" in left and not left & {"coded", "classes", "held", "train", "met", "texts"}
+
+
+def test_frequent_ngrams_and_sieves_against_counts(spark):
+    import numpy as np
+
+    codes = spark.createDataFrame([("abcd" * 9,), ("abcdefgh",), ("xyzwabcd",)] * 5, "code string").repartition(3)
+    found = codes.mapInArrow(O._gram_counts, "block long, low binary, n binary").repartition("block").mapInArrow(O._frequent(45), "key long").collect()
+    # 40 times each bcda, cdab and dabc; abcd 55 times with those of the other texts
+    assert [r.key for r in found] == [int(O.Texts(["abcd"]).key[0] >> O._COUNTED)]
+    keys = np.random.default_rng(3).integers(0, 1 << 62, 4000)
+    laid = spark.createDataFrame([(int(k), bool(i % 2)) for i, k in enumerate(keys)], "key long, long boolean")
+    sieves = O._sieves(laid)
+    assert all(O._has(sieves[bool(i)], keys[i::2].view(np.uint64)).all() for i in (0, 1))
+    assert O._has(sieves[True], keys[::2].view(np.uint64)).mean() < 0.05

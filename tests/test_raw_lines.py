@@ -117,6 +117,23 @@ def test_a_very_long_record_is_linear():
     assert reason == "quoting" and len(fields) == 10 and cost == len(edits)
 
 
+def test_a_record_of_any_length_is_repaired_the_same_way(monkeypatch):
+    part, n = ',"x"y, z', 5_000  # as many quotes edited as the grammar needs, and no delimiter besides
+    cost, edits, fields = R.repair('1,2,"a, b' + part * n, 10)
+    assert cost == len(edits) == 2 * n + 1 and len(fields) == 10 and all("quote" in x for x in edits)
+    for text in ('1,2,"a, b' + part * 4, 'x"y,' * 9, '"a,b""c' * 5 + ",d,e"):
+        want = R.repair(text, 10)
+        for stretch in (1, 2, 7):
+            with monkeypatch.context() as m:
+                m.setattr(R, "STRETCH", stretch)
+                assert R.repair(text, 10) == want
+
+
+def test_surplus_quoted_fields_beside_an_edited_quote():
+    edits, fields = R.repair('x"y' + ',"a",b' * 6, 10)[1:]
+    assert [x.split("@")[0] for x in edits] == ["delete_quote"] + ["delete_delimiter"] * 3 and len(fields) == 10
+
+
 def test_spark_table(spark):
     rows = [(1, "a_sent_emo_1.csv", 1, GOOD, "clash", 0), (1, "a_sent_emo_1.csv", 1, GOOD, None, 0), (2, "partition_1.txt", 2, None, None, 0), (None, None, None, "x", None, 0), (3, "d/partition_2.txt", 1, "p;Test", None, 0)]
     parsed = R.parse_records(spark.createDataFrame(rows, SCHEMA))

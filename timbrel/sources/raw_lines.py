@@ -43,8 +43,8 @@ _START, _BARE, _QUOTED, _CLOSED = range(4)
 
 #: What an edit of a quote costs; more than all delimiters of a record.
 QUOTE = 1 << 40
-#: Quotes, commas and texts between them up to which quotes and fields are repaired together; in a longer record quotes come first.
-MAX_JOINT = 20_000
+#: Quotes, commas and texts between them after which the programme keeps its costs alone; the edits up to there are found by going over them once more.
+STRETCH = 4_096
 #: The column that takes what is too much in a record: the only one of free text.
 FREE_TEXT = 2
 
@@ -118,14 +118,11 @@ def repair(text: str, width: int) -> tuple[int, list[str], list[str]]:
     if free:
         edits, fields = _delimited(*free, width, len(text))
         return len(edits), edits, fields
-    joint = len(tokens) <= MAX_JOINT
     least = _least_quotes(tokens)
     budget, here = least[0][_START], least[0]
-    # best[state] = (cost, trail); a trail is a linked list of (parent, edit, appended text, closes field: False, True or the place of the delimiter and 1)
-    best: dict[tuple[int, int], tuple[int, tuple | None]] = {(0, _START): (0, None)}
 
+    # states[state] = (cost, trail); a trail is a linked list of (parent, edit, appended text, closes field) that ends in (None, state it began with)
     def offer(into, k, mode, cost, trail):
-        k = k if joint else 0
         if k < width and cost // QUOTE + here[mode] <= budget and ((k, mode) not in into or into[k, mode][0] > cost):
             into[k, mode] = (cost, trail)
 
@@ -136,60 +133,78 @@ def repair(text: str, width: int) -> tuple[int, list[str], list[str]]:
                 offer(states, k, _CLOSED, cost + QUOTE, (trail, f"insert_quote@{at}", "", False))
             if mode == _START:
                 offer(states, k, _QUOTED, cost + QUOTE, (trail, f"insert_quote@{at}", "", False))
-        for k, mode in sorted(states) if joint else ():
+        for k, mode in sorted(states):
             cost, trail = states[k, mode]
             if mode == _START or mode != _QUOTED and before in ("", ","):
                 offer(states, k + 1, _START, cost + 1, (trail, f"insert_delimiter@{at}", "", True))
 
-    for i, (token, at) in enumerate(tokens):
-        insertions(best, at, token)
-        here = least[i + 1]
-        after: dict[tuple[int, int], tuple[int, tuple | None]] = {}
-        for (k, mode), (cost, trail) in best.items():
-            if token == ",":
-                if mode == _QUOTED:
-                    offer(after, k, _QUOTED, cost, (trail, "", ",", False))
-                else:
-                    offer(after, k + 1, _START, cost, (trail, "", "", at + 1))
-                    if joint:
+    def stretch(first, costs):
+        """The states after the stretch of tokens from ``first`` on, which begins with states of these ``costs``."""
+        nonlocal here
+        here = least[first]
+        best = {state: (cost, (None, state)) for state, cost in costs.items()}
+        for i, (token, at) in enumerate(tokens[first : first + STRETCH], first):
+            insertions(best, at, token)
+            here = least[i + 1]
+            after: dict[tuple[int, int], tuple[int, tuple]] = {}
+            for (k, mode), (cost, trail) in best.items():
+                if token == ",":
+                    if mode == _QUOTED:
+                        offer(after, k, _QUOTED, cost, (trail, "", ",", False))
+                    else:
+                        offer(after, k + 1, _START, cost, (trail, "", "", True))
                         offer(after, k, mode, cost + 1, (trail, f"delete_delimiter@{at}", "", False))
-            elif token == '"':
-                if mode == _START:
-                    offer(after, k, _QUOTED, cost, (trail, "", "", False))
+                        if joins and mode != _START:
+                            offer(after, k, _START, cost + 1, (trail, f"delete_delimiter@{at}", "", False))
+                elif token == '"':
+                    if mode == _START:
+                        offer(after, k, _QUOTED, cost, (trail, "", "", False))
+                    elif mode == _QUOTED:
+                        offer(after, k, _CLOSED, cost, (trail, "", "", False))
+                        offer(after, k, _QUOTED, cost + QUOTE, (trail, f"insert_quote@{at}", '"', False))
+                    elif mode == _CLOSED:  # the quote before it was the first of a doubled one
+                        offer(after, k, _QUOTED, cost, (trail, "", '"', False))
+                    offer(after, k, mode, cost + QUOTE, (trail, f"delete_quote@{at}", "", False))
                 elif mode == _QUOTED:
-                    offer(after, k, _CLOSED, cost, (trail, "", "", False))
-                    offer(after, k, _QUOTED, cost + QUOTE, (trail, f"insert_quote@{at}", '"', False))
-                elif mode == _CLOSED:  # the quote before it was the first of a doubled one
-                    offer(after, k, _QUOTED, cost, (trail, "", '"', False))
-                offer(after, k, mode, cost + QUOTE, (trail, f"delete_quote@{at}", "", False))
-            elif mode == _QUOTED:
-                offer(after, k, _QUOTED, cost, (trail, "", token, False))
-            elif mode in (_START, _BARE):
-                offer(after, k, _BARE, cost, (trail, "", token, False))
-        best = after
-    for _ in range(width if joint else 1):
-        insertions(best, len(text), "")
-    last = width - 1 if joint else 0
-    _, trail = min((best[k, m] for k, m in best if k == last and m != _QUOTED), key=lambda x: x[0])
-    edits, parts, places = [], [], []
-    while trail:
-        trail, edit, part, closes = trail
-        if edit:
-            edits.append(edit)
-        elif closes:
-            places.append(closes - 1)
-        parts.append(None if closes else part)
+                    offer(after, k, _QUOTED, cost, (trail, "", token, False))
+                elif mode in (_START, _BARE):
+                    offer(after, k, _BARE, cost, (trail, "", token, False))
+            best = after
+        if first + STRETCH >= len(tokens):
+            for _ in range(width):
+                insertions(best, len(text), "")
+        return best
+
+    # surplus fields are joined as the grammar allows; where quoted ones leave too many, as if they were bare
+    for joins in (False, True):
+        begins, costs = [], {(0, _START): 0}
+        for first in range(0, len(tokens), STRETCH):
+            begins.append((first, costs))
+            best = stretch(first, costs)
+            costs = {state: cost for state, (cost, _) in best.items()}
+        ends = [x for x in best if x[0] == width - 1 and x[1] != _QUOTED]
+        if ends:
+            break
+    state = min(ends, key=lambda x: best[x][0])
+    edits, parts = [], []
+    while begins:
+        first, costs = begins.pop()
+        if best is None:
+            best = stretch(first, costs)
+        _, trail = best[state]
+        while trail[0]:
+            trail, edit, part, closes = trail
+            if edit:
+                edits.append(edit)
+            parts.append(None if closes else part)
+        state, best = trail[1], None
     fields: list[list[str]] = [[]]
     for part in reversed(parts):
         if part is None:
             fields.append([])
         else:
             fields[-1].append(part)
-    edits, fields = edits[::-1], ["".join(x) for x in fields]
-    if not joint:
-        more, fields = _delimited(fields, places[::-1], width, len(text))
-        edits += more
-    return len(edits), edits, fields
+    return len(edits), edits[::-1], ["".join(x) for x in fields]
 
 
 def _reason(edits: list[str], valid: bool) -> str | None:
